@@ -171,14 +171,14 @@ def slots(planned: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "bin", "each", "offset"), a.T.copy()))
 
 
-def ranked(rows: DataFrame, key: str, order: list[str], per_bucket: int = 50_000) -> DataFrame:
+def ranked(rows: DataFrame, key: str, deal: list[str], order: list[str], per_bucket: int = 50_000) -> DataFrame:
     """``rows`` with ``rank``, numbers from 0 within each value of ``key``.
 
-    A key is dealt over hashed buckets and ranks start at the sum of the buckets before, so a key that holds most rows is
-    numbered by many tasks. ``rows`` must be durable: it is read twice.
+    A key is dealt over buckets by a hash of ``deal``, and ranks start at the sum of the buckets before, so a key that holds
+    most rows is numbered by many tasks. ``rows`` is read twice and has to come from a stable source.
     """
     n = min(1 << 14, max(16, -(-rows.count() // per_bucket)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*deal), F.lit(n)).cast("int"))
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(key, "bucket").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col(key).alias("key_"), F.col("bucket").alias("bucket_"), "first")
     within = Window.partitionBy(key, "bucket").orderBy(*order)
@@ -202,7 +202,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bins, nth = np.divmod(rank - at["rank"][i], at["each"][i])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(at["bin"][i] + bins), pa.array(at["offset"][i] + nth * length)], [*names, "sequence_id", "offset"])
 
-    return ranked(cut, "length", ["doc_id", "piece", "ids_crc32"]).select(*names, "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"]).select(*names, "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_documents
 
@@ -33,8 +34,43 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(read_documents(spark, sf_dir)))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(read_documents(spark, sf_dir))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read_documents(spark, sf_dir).select("doc_id", "source"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifier import resample
+
+    return resample(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    docs = read_documents(spark, sf_dir).select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"))
+    model = fit(docs.filter(~F.col("held_out")))
+    found = identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.expr("CAST(size(spans) AS LONG)").alias("n_spans"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op4_exact_dedup, op7_secret_scan)
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_exact_dedup, op5_mix_sources, op6_quality_classifier, op7_secret_scan, op8_language_id, op10_vector_search)
 }
 
 ORACLES: dict[str, str] = {
