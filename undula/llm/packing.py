@@ -9,7 +9,9 @@ among the pieces of their length: no step sees the pieces together.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,53 +24,51 @@ from .common import durable, text_or_empty
 
 CAPACITY = 2048
 #: Words whose ids a worker keeps; only speed depends on it.
-REMEMBER = 600_000
-_SEPARATOR = "\x01"
+REMEMBER = 1_500_000
 _workers: dict = {}
 
 
+# Fixed values of the vocabulary's scheme, over Latin-1: its word pattern, lower case, and the characters that stand for bytes.
+_WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x09-\x0d\x20\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_SHOWN = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
+_HIDDEN = [c for c in range(256) if c not in _SHOWN]
+_BYTES = {c: chr(c) for c in _SHOWN} | {c: chr(256 + i) for i, c in enumerate(_HIDDEN)}
+
+
 class WordEncoder:
-    """Ids of whole texts. The tokenizer treats words between ASCII white space one by one, so each new word goes through
-    it once (many words in a call, told apart by a separator word) and its ids are kept."""
+    """Ids of whole texts. The vocabulary merges within words only, so in a text of Latin-1 characters each new word goes
+    through the merges once and its ids are kept. Any other text, or one with a special token's mark, is encoded as it is."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        ids = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
-        self.separator = ids[0] if len(ids) == 1 else None
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        mark = _SEPARATOR.encode()
-        plain = [w for w in words if mark not in w] if self.separator is not None else []
-        for w in words if len(plain) != len(words) else ():
-            if self.separator is None or mark in w:
-                self.known[w] = self._one(w)
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode((b" " + mark + b" ").join(some).decode(), add_special_tokens=False).ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.separator))
-            if len(parts) == len(some):
-                self.known.update(zip(some, (p[bool(k) :].tobytes() for k, p in enumerate(parts))))
-            else:  # the separator's id came up inside a word
-                self.known.update((w, self._one(w)) for w in some)
+
+    def _learn(self, words: set[bytes]) -> None:
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            shown = w.decode() if w.isalpha() else "".join(map(_BYTES.__getitem__, w.decode("latin-1").encode()))
+            self.known[w] = array("I", [t.id for t in merge(shown)]).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
+        split: list = []
+        for t in texts:
+            try:
+                if b"<|" in t:
+                    raise ValueError
+                split.append(_WORD.findall((t if t.isascii() else t.decode().encode("latin-1")).translate(_LOWER)))
+            except ValueError:
+                split.append(None)
+        words = set().union(*(s for s in split if s is not None))
         if len(self.known) + len(words) > REMEMBER:
             self.known.clear()
-        new = words - self.known.keys()
-        if new:
-            self.learn(list(new))
+        self._learn(words - self.known.keys())
         get = self.known.__getitem__
-        for s in split:
-            yield b"".join(map(get, s))
+        for t, s in zip(texts, split):
+            yield b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _encoder(path: str) -> WordEncoder:
