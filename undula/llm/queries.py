@@ -22,6 +22,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .class_lm import score_documents
+
+    return score_documents(read_documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -70,7 +76,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op4_exact_dedup, op5_mix_sources, op6_quality_classifier, op7_secret_scan, op8_language_id, op10_vector_search)
+    for f in (op1_best_fit_packing, op2_ngram_jaccard_join, op3_class_lm, op4_exact_dedup, op5_mix_sources, op6_quality_classifier, op7_secret_scan, op8_language_id, op10_vector_search)
 }
 
 ORACLES: dict[str, str] = {
