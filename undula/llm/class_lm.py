@@ -73,8 +73,8 @@ def _by_bucket(h: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(int(b[i]), int(i), int(j)) for i, j in zip(cut, np.append(cut[1:], len(b)))]
 
 
-def _count(chunks: DataFrame, parts: int, core: int) -> DataFrame:
-    """Of each bucket of words its number of words, tokens and words seen once, and its most frequent words."""
+def _count(chunks: DataFrame, parts: int, core: int) -> tuple[DataFrame, DataFrame]:
+    """Of each bucket of words its number of words, tokens and words seen once; in 16 rows, the most frequent words."""
 
     def deal(batches):
         for b in batches:
@@ -88,12 +88,17 @@ def _count(chunks: DataFrame, parts: int, core: int) -> DataFrame:
     def total(t: pa.Table) -> pa.Table:
         h, back = np.unique(np.frombuffer(b"".join(t["h"].to_pylist()), np.uint64), return_inverse=True)
         n = np.bincount(back, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32)).astype(np.int64)
+        return pa.table({"bucket": t["bucket"][:1], **most(h, n), "words": [len(h)], "tokens": [int(n.sum())], "once": [int((n == 1).sum())]})
+
+    def most(h: np.ndarray, n: np.ndarray) -> dict:
         top = np.lexsort((h, -n))[:core]
-        first = np.zeros((3, len(top)), np.int64)
-        first[:, :1] = np.array([[len(h)], [n.sum()], [(n == 1).sum()]])
-        return pa.table({"word": h[top].view(np.int64), "n": n[top], "words": first[0], "tokens": first[1], "once": first[2]})
+        return {"top": binary([h[top]]), "top_n": binary([n[top]])}
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table(most(*(np.frombuffer(b"".join(t[c].to_pylist()), d) for c, d in (("top", np.uint64), ("top_n", np.int64)))))
 
-    return chunks.select("vocab", "counts").mapInArrow(deal, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(total, "word long, n long, words long, tokens long, once long")
+    counted = durable(chunks.select("vocab", "counts").mapInArrow(deal, "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(total, "bucket int, top binary, top_n binary, words long, tokens long, once long"), "counted")
+    return counted, counted.groupBy(F.pmod("bucket", F.lit(16))).applyInArrow(merge, "top binary, top_n binary")
 
 
 def _sequence(code: np.ndarray, first: np.ndarray, keep: np.ndarray, end: int) -> np.ndarray:
@@ -336,14 +341,15 @@ def score_documents(docs: DataFrame, held_out: str = "crc32(CAST(CAST(doc_id AS
     chunks = durable(rows.mapInArrow(_chunks, "chunk long, ids array<long>, train binary, first binary, words binary, vocab binary, counts binary"), "chunks")
     facts = chunks.agg(F.count("*").alias("n"), F.sum(F.expr("length(regexp_replace(hex(train), '00', '')) / 2")).cast("long").alias("ends")).first()
     parts, ends = buckets_for(spark, facts["n"], 1), facts["ends"] or 0
-    counted = durable(_count(chunks, parts, CORE), "counted")
+    counted, tops = _count(chunks, parts, CORE)
     sums = counted.agg(F.sum("words"), F.sum("tokens"), F.sum("once")).first()
     words, tokens, once = (x or 0 for x in sums)
     words, tokens = words + (ends > 0), tokens + ends
-    top = counted.orderBy(F.desc("n"), "word").limit(CORE).collect()
-    core = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    n = np.array([r["n"] for r in top], np.float64)[np.argsort(core)]
-    core = np.sort(core)
+    top = tops.collect()  # 16 rows
+    core, n = (np.frombuffer(b"".join(r[c] for r in top), d) for c, d in (("top", np.uint64), ("top_n", np.int64)))
+    most = np.lexsort((core, -n))[:CORE]
+    core, n = core[most], n[most].astype(np.float64)
+    n, core = n[np.argsort(core)], np.sort(core)
     own, table = exchange(_core_bigrams(chunks, core), n)
     given = _assign(chunks, core, own, table, parts)
     classed = durable(_classed(chunks, given, tokens, words, ends), "classed")
