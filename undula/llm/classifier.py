@@ -144,23 +144,37 @@ def keep_share(scored: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     return n["k"] / n["n"] if n["n"] else 1.0
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = NOISE) -> DataFrame:
-    """doc_id, log_weight, score (with noise), n_grams, kept: ``k`` rows are kept, the rest is rejected.
+def _scored(docs: DataFrame, ratio: np.ndarray, noise: float) -> DataFrame:
+    return log_weights(docs, ratio).withColumn("score", F.col("log_weight") + noise * gumbel())
 
-    Without ``k`` it follows from the labelled rows (``keep_share``); without labels all are kept. Null text counts as
-    empty; a text without n-grams weighs as much as the average. Ties at the border go to the smaller doc_id, a null doc_id
-    last; repeated rows are scored alike. An empty table gives an empty result; other columns are ignored.
-    """
-    ratio = learn(docs, labels)
-    rows = log_weights(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight", "n_grams", (F.col("log_weight") + noise * gumbel()).alias("score"))
-    scored = durable(rows, "scores")
+
+def _decision(scored: DataFrame, labels: DataFrame, k: int | None) -> Column:
+    """Which rows are among the ``k`` largest of ``scored``, a durable table of doc_id and score."""
     total = scored.count()
     k = round(total * keep_share(scored, labels)) if k is None else min(k, total)
     border = kth_largest(scored, "score", k)
     if border is None:
-        return scored.withColumn("kept", F.lit(False))
+        return F.lit(False)
     value, ties = border
-    tied = scored.filter(F.col("score") == value).groupBy("doc_id").count().orderBy(F.col("doc_id").asc_nulls_last()).limit(ties).collect()
-    last = tied[-1]["doc_id"] if tied else None
-    allowed = F.col("doc_id") <= last if last is not None else F.lit(True)
-    return scored.withColumn("kept", (F.col("score") > value) | ((F.col("score") == value) & F.coalesce(allowed, F.lit(False))))
+    tied = scored.filter(F.col("score") == value).orderBy(F.col("doc_id").asc_nulls_last()).select("doc_id").limit(ties).agg(F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    allowed = F.coalesce(F.col("doc_id") <= tied["last"], F.lit(bool(tied["nulls"]))) if tied["last"] is not None else F.lit(True)
+    return (F.col("score") > value) | ((F.col("score") == value) & (F.lit(bool(tied["nulls"])) | allowed))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = NOISE) -> DataFrame:
+    """doc_id, log_weight, n_grams, score (with noise), kept: ``k`` rows are kept, the rest is rejected.
+
+    Without ``k`` it follows from the labelled rows (``keep_share``); without labels all are kept. Null text counts as
+    empty; a text without n-grams weighs as much as the average. Ties at the border go to the smaller doc_id, a null doc_id
+    last; rows repeated with their id are decided alike. An empty table gives an empty result; other columns are ignored.
+    """
+    scored = durable(_scored(docs.select("doc_id", "text"), learn(docs, labels), noise).drop("text"), "scores")
+    return scored.withColumn("kept", _decision(scored, labels, k))
+
+
+def resampled_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = NOISE) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with their columns. Texts are scored twice rather than shuffled."""
+    ratio = learn(docs, labels)
+    slim = durable(_scored(docs.select("doc_id", "text"), ratio, noise).select("doc_id", "score"), "scores")
+    kept = _decision(slim, labels, k)
+    return _scored(docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", "log_weight", "n_grams", "score"))), ratio, noise).filter(kept).select(*(c for c in docs.columns if c not in ("log_weight", "n_grams", "score")))

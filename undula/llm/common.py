@@ -68,6 +68,15 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: A joined side of at most so many rows is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a durable right side, which is broadcast if its counted rows are few and shuffled otherwise."""
+    return left.join(F.broadcast(right) if right.count() <= SMALL_ROWS else right, on, how)
+
+
 def added(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with more columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items())])

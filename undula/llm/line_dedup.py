@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, join_counted
 
-#: Least similarity in per cent; bits of the table of word counts; a joined side of at most so many rows is broadcast.
-PERCENT, COUNT_BITS, SMALL_ROWS = 80, 18, 1_000_000
+#: Least similarity in per cent; bits of the table of word counts.
+PERCENT, COUNT_BITS = 80, 18
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 _WORDS = f"split(lower({{}}), '{_BLANK}')"
 
@@ -53,16 +53,11 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", "line", "n", "mark", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
-def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a durable right side, which is broadcast if its counted rows are few and shuffled otherwise."""
-    return left.join(F.broadcast(right) if right.count() <= SMALL_ROWS else right, on, how)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Marks of the later lines of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_0").alias("doc"), F.col("line_0").alias("line")))
     asked = durable(ends.distinct().groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked")
-    near = _join(docs.withColumnRenamed("doc_id", "doc"), asked, ["doc"])
+    near = join_counted(docs.withColumnRenamed("doc_id", "doc"), asked, ["doc"])
     lines = near.select("doc", F.explode(F.expr("transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i AS line, x AS text)), y -> array_contains(asked, y.line)), y -> y)")).alias("y"))
     lines = durable(lines.select("doc", "y.line", F.xxhash64("y.line", "y.text").alias("mark"), F.expr(words_of("y.text")).alias("words")), "asked")
     old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
@@ -76,7 +71,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = durable(_lines(docs, percent), "lines")
     sets = durable(lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")), "sets")
     again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", "first"), "again")
-    copies = _join(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != first.doc OR line != first.line OR mark != first.mark").select("doc", "mark")
+    copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != first.doc OR line != first.line OR mark != first.mark").select("doc", "mark")
 
     posts = sets.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", F.posexplode("prefix").alias("at", "code"))
     earliest = posts.groupBy("code").agg(F.count("*").alias("lines"), F.min("doc").alias("doc_0"), F.min_by(F.expr("shiftleft(CAST(line AS LONG), 32) | n"), "doc").alias("packed")).filter("lines > 1")
@@ -87,7 +82,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = durable(_verified(docs, pairs, percent), "removed")
 
     settled = durable(first.select("doc", "line").distinct(), "settled")
-    left = _join(shared.select("code", "doc", "line", "n", "at"), settled, ["doc", "line"], "left_anti")
+    left = join_counted(shared.select("code", "doc", "line", "n", "at"), settled, ["doc", "line"], "left_anti")
     other = shared.select("code", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("at").alias("at_0"))
     place = f"{100 + percent} * (1 + least(n - at - 1, n_0 - at_0 - 1)) >= {percent} * (n + n_0)"
     rest = left.join(other, "code").filter(f"{before} AND {size} AND {place}").select("doc", "line", "doc_0", "line_0").distinct()
@@ -107,7 +102,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     slim = docs.select(last.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     gone = durable(later_lines(slim, percent).groupBy("doc").agg(F.collect_set("mark").alias("gone")), "gone")  # of one document
-    rows = _join(docs.select(*names, last.alias("doc")), gone, ["doc"], "left")
+    rows = join_counted(docs.select(*names, last.alias("doc")), gone, ["doc"], "left")
     kept = "filter(split(text, '\\n'), (x, i) -> NOT array_contains(gone, xxhash64(i, x)))"
     count = "CAST(coalesce(size(split(text, '\\n')), 0) AS LONG)"
     rows = rows.withColumn("kept", F.expr(f"CASE WHEN gone IS NOT NULL THEN {kept} END")).withColumn("n_lines", F.expr(f"CASE WHEN text IS NULL THEN 0L ELSE {count} END"))
