@@ -62,8 +62,8 @@ def shingle_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary")
 
 
-def _shared(docs: DataFrame, parts: int, frequent: int) -> DataFrame:
-    """(short, n): how many shingles the classes with this short print share with others; (token, df): frequent shingles.
+def _shared(docs: DataFrame, parts: int, lots: int, frequent: int) -> tuple[DataFrame, np.ndarray]:
+    """short, with_others: how many shingles the classes with this short print share with others; and frequent shingles.
 
     Shingles are folded to a bucket and 32 bits, which can only make more of them shared. A shingle that many texts of a
     slice hold is sent once with its count.
@@ -125,16 +125,30 @@ def _shared(docs: DataFrame, parts: int, frequent: int) -> DataFrame:
         ids, n = np.unique(short[multi], return_counts=True)
         df = np.bincount(np.searchsorted(heavy, token[new][both]), size[both], minlength=len(heavy)).astype(np.int64) + heavy_n if len(heavy) else heavy_n
         tokens, df = np.concatenate((token[new][~both], heavy)), np.concatenate((size[~both], df))
-        tokens, df = tokens[df > frequent], df[df > frequent]
-        own, back = np.unique(get("own"), return_inverse=True)
-        own_n = np.bincount(back, get("own_n"), minlength=len(own)).astype(np.int64)
-        k, m = len(ids) + len(own), len(tokens)
-        bucket = t["bucket"][0].as_py()
-        gap = lambda a, before, after: pa.concat_arrays([pa.nulls(before, pa.int64()), pa.array(a.astype(np.int64)), pa.nulls(after, pa.int64())])
-        return pa.table({"short": gap(np.concatenate((ids, own)), 0, m), "n": gap(np.concatenate((n, own_n)), 0, m), "token": gap(bucket << 32 | tokens.astype(np.int64), k, 0), "df": gap(df, k, 0)})
+        tokens, df = tokens[df > frequent], df[df > frequent].astype(np.int64)
+        ids, n = np.concatenate((ids, get("own"))), np.concatenate((n, get("own_n")))
+        to = ids % lots
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(lots + 1))
+        some = [i for i in range(lots) if cut[i] < cut[i + 1]]
+        rows = {"lot": some, "short": [ids[order[cut[i] : cut[i + 1]]].astype(np.uint32) for i in some], "n": [n[order[cut[i] : cut[i + 1]]].astype(np.uint32) for i in some]}
+        if len(tokens):
+            bucket = t["bucket"][0].as_py()
+            rows["lot"].append(-1)
+            rows["short"].append(bucket << 32 | tokens.astype(np.int64))
+            rows["n"].append(df)
+        return pa.table({"lot": pa.array(rows["lot"], pa.int32()), "short": binary(rows["short"]), "n": binary(rows["n"])})
+
+    def add(t: pa.Table) -> pa.Table:
+        short, back = np.unique(np.frombuffer(b"".join(t["short"].to_pylist()), np.uint32), return_inverse=True)
+        n = np.bincount(back, np.frombuffer(b"".join(t["n"].to_pylist()), np.uint32), minlength=len(short))
+        return pa.table({"short": short.astype(np.int64), "with_others": n.astype(np.int64)})
 
     sent = docs.select("doc_id", "text").mapInArrow(deal, "bucket int, tokens binary, prints binary, runs binary, heavy binary, heavy_n binary, own binary, own_n binary")
-    return sent.groupBy("bucket").applyInArrow(count, "short long, n long, token long, df long")
+    counted = durable(sent.groupBy("bucket").applyInArrow(count, "lot int, short binary, n binary"), "shared")
+    tokens = [np.frombuffer(r["short"], np.int64) for r in counted.filter("lot = -1").select("short").toLocalIterator()]  # bounded, see FREQUENT
+    shared = counted.filter("lot >= 0").groupBy("lot").applyInArrow(add, "short long, with_others long")
+    return shared, np.sort(np.concatenate(tokens)) if tokens else np.zeros(0, np.int64)
 
 
 def _bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,16 +226,14 @@ def _grown(sets: DataFrame, nth: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array([x[min(nth, len(x) - 1)] for x in s], np.uint64).view(np.int64))], ["rep", "hashes", "tile"])
 
     tiles = sets.select("rep", "n", "hashes").mapInArrow(key, "rep long, hashes binary, tile long")
-    hot = tiles.groupBy("tile").count().filter(F.col("count") > PART)
-    dealt = tiles.join(hot, "tile", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / PART)), F.lit(0)))
+    counted = tiles.join(tiles.groupBy("tile").count(), "tile").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / PART)))
+    alone = counted.filter("count = 1").select("rep", F.col("rep").alias("label"))
 
     def one(t: pa.Table) -> pa.Table:
         ids = t["rep"].to_numpy().astype(np.int64)
-        if len(ids) == 1:
-            return pa.table({"rep": ids, "label": ids})
         return pa.table({"rep": ids, "label": grow(ids, [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()], percent)})
 
-    return dealt.select("tile", "part", "rep", "hashes").groupBy("tile", "part").applyInArrow(one, "rep long, label long")
+    return alone.unionByName(counted.filter("count > 1").select("tile", "part", "rep", "hashes").groupBy("tile", "part").applyInArrow(one, "rep long, label long"))
 
 
 def _band(n: np.ndarray, percent: int) -> np.ndarray:
@@ -254,20 +266,34 @@ def _postings(sets: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
 
 
 def _candidates(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a tile that lie in different components and can link: members with members and with visitors."""
-    col = {c: t[c].to_numpy().astype(np.int64) for c in ("role", "rep", "comp", "n")}
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(len(col["rep"]), -1)
-    own, out = np.flatnonzero(col["role"] == 0), []
-    for i in range(0, len(own), 512):
-        a = own[i : i + 512]
-        for j in range(0, len(col["rep"]), 2048):
-            b = np.arange(j, min(j + 2048, len(col["rep"])))
-            fine = _possible(sig[a], col["n"][a], sig[b], col["n"][b], percent) & (col["comp"][a][:, None] != col["comp"][b])
-            fine &= (col["role"][b] == 1) | (col["rep"][a][:, None] < col["rep"][b])
-            r, c = np.nonzero(fine)
-            out.append((col["rep"][a[r]], col["rep"][b[c]]))
-    x, y = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+    """Pairs, within the tiles of one lot, that lie in different components and can link by sizes and bit counts.
+
+    Members of a tile (role 0) are paired with the later members and with the visitors (role 1).
+    """
+    col = {c: t[c].to_numpy().astype(np.int64) for c in ("token", "band", "role", "rep", "comp", "n")}
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+    order = np.lexsort((col["rep"], col["role"], col["band"], col["token"]))
+    col, sig = {k: v[order] for k, v in col.items()}, sig[order]
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(col["token"]) != 0) | (np.diff(col["band"]) != 0))))
+    end = np.repeat(np.append(start[1:], t.num_rows), np.diff(np.append(start, t.num_rows)))
+    own = np.flatnonzero(col["role"] == 0)
+    much = end[own] - own - 1  # those after it in the tile
+    total, at, out = np.cumsum(much), 0, [np.zeros((0, 2), np.int64)]
+    while at < len(own):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 500_000, "right")))
+        i = np.repeat(own[at:to], much[at:to])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(much[at:to]) - much[at:to], much[at:to])
+        at = to
+        n_i, n_j = col["n"][i], col["n"][j]
+        fine = (col["comp"][i] != col["comp"][j]) & (100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j))
+        i, j, n_i, n_j = i[fine], j[fine], n_i[fine], n_j[fine]
+        a, b = sig[i], sig[j]
+        most = np.minimum(n_i - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_j - np.bitwise_count(~a & b).sum(1, dtype=np.int64))
+        fine = 100 * most >= percent * (n_i + n_j - most)
+        x, y = col["rep"][i[fine]], col["rep"][j[fine]]
+        out.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -285,9 +311,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     totals = classes.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
     parts = min(1 << 20, buckets_for(spark, totals["shingles"] or 0, 4_000_000))
     frequent = max(64, totals["n"] // FREQUENT)
-    shared = durable(_shared(docs, parts, frequent), "shared")
-    counts = shared.filter("short IS NOT NULL").groupBy("short").agg(F.sum("n").alias("with_others"))
-    tokens = np.sort(np.array([r[0] for r in shared.filter("token IS NOT NULL").select("token").toLocalIterator()], np.int64))  # bounded, see FREQUENT
+    counts, tokens = _shared(docs, parts, max(16, totals["n"] // 500_000), frequent)
     short = F.expr("CAST(conv(concat(substr(hex(print), 7, 2), substr(hex(print), 5, 2), substr(hex(print), 3, 2), substr(hex(print), 1, 2)), 16, 10) AS LONG) & 2147483647")
     able = durable(classes.withColumn("short", short).join(counts, "short").filter(F.col("with_others") >= F.ceil(F.col("n") * percent / 100)).select("rep", "print", "n"), "able")
     bloom = _bloom(able.select("rep"))
@@ -313,7 +337,8 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = durable(sets.join(comps, "rep"), "known")
     posts = _postings(known, tokens, parts, percent)
     mixed = durable(posts.groupBy("token", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("role").alias("r")).filter("x < y AND r = 0").select("token", "band"), "tiles")
-    pairs = posts.join(mixed, ["token", "band"], "left_semi").groupBy("token", "band").applyInArrow(lambda t: _candidates(t, percent), "a long, b long").distinct()
+    lot = F.pmod(F.xxhash64("token", "band"), F.lit(parts))
+    pairs = posts.join(mixed, ["token", "band"], "left_semi").groupBy(lot.alias("lot")).applyInArrow(lambda t: _candidates(t, percent), "a long, b long").distinct()
     pairs = durable(pairs, "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
