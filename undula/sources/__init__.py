@@ -1 +1,53 @@
-"""sources of the engine."""
+"""Tables as series.
+
+A series is rows of (series_id, pos, value): ``pos`` counts from 1 without gaps within each ``series_id``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def as_series(df: DataFrame, value: str | Column, order_by: str | list[str], key: str | Column | None = None) -> DataFrame:
+    """Rows ordered by ``order_by`` as one series, or as one per value of ``key``. Integral values stay integral."""
+    order = [order_by] if isinstance(order_by, str) else order_by
+    value = F.col(value) if isinstance(value, str) else value
+    key = F.lit("all") if key is None else F.col(key) if isinstance(key, str) else key
+    rows = df.select(key.cast("string").alias("series_id"), value.alias("value"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
+    place = Window.partitionBy("series_id").orderBy(*(f"_o{i}" for i in range(len(order))))
+    return rows.select("series_id", F.row_number().over(place).cast("bigint").alias("pos"), "value")
+
+
+def daily(df: DataFrame, day: str, total: Column | None = None, series_id: str = "all") -> DataFrame:
+    """One integral value a day, the sum of ``total`` or the number of rows, with 0 for days without rows."""
+    days = df.groupBy(F.to_date(day).alias("day")).agg((F.count("*") if total is None else F.sum(total)).cast("bigint").alias("value")).filter("day IS NOT NULL")
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    every = span.filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("day"), "a")
+    return every.join(days, "day", "left").select(F.lit(series_id).alias("series_id"), (F.datediff("day", "a") + 1).cast("bigint").alias("pos"), F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
+
+
+def is_exact(series: DataFrame) -> bool:
+    """Whether sums of the values are exact, being of whole numbers."""
+    return dict(series.dtypes)["value"] in INTEGRAL
+
+
+def check(series: DataFrame) -> DataFrame:
+    kinds = dict(series.dtypes)
+    if missing := {"series_id", "pos", "value"} - kinds.keys():
+        raise ValueError(f"a series needs columns {sorted(missing)}")
+    if kinds["value"] not in (*INTEGRAL, "double", "float") and not kinds["value"].startswith("decimal"):
+        raise ValueError(f"values must be numbers, not {kinds['value']}")
+    wide = F.col("value").cast("bigint") if kinds["value"] in INTEGRAL else F.col("value").cast("double")
+    return series.select(F.col("series_id").cast("string").alias("series_id"), F.col("pos").cast("bigint").alias("pos"), wide.alias("value"))
+
+
+def zone(window: int, exclusion_zone: float) -> int:
+    """Positions on each side of a window that are no neighbours; halves round away from zero."""
+    return int(window * exclusion_zone + 0.5 + 1e-12)

@@ -1 +1,117 @@
-"""streaming of the engine."""
+"""Profiles over streams.
+
+``right_profile`` keeps, per series, the last ``history`` values and the right profile of their windows: for each window the
+best partner that came later. ``fading`` keeps the sums of the recursive rolling statistics. Both give the same rows however
+the stream is cut into micro-batches; rows arrive in order of ``pos`` and ones that lie before the last one taken in are
+dropped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..plans.tiles import Windows
+from ..sources import zone
+
+_PROFILE = "series_id string, pos long, right_matrix_profile double, right_profile_index long"
+
+
+def extend(values: np.ndarray, best: np.ndarray, partner: np.ndarray, offset: int, new: np.ndarray, window: int, low: int, history: int, high: int | None, exact: bool, threshold: float = -1.0):
+    """State after ``new`` values, and the windows whose right profile changed (positions from 1, correlation, partner).
+
+    ``offset`` counts the values before the first one held. Only windows of the new values are compared with those held.
+    """
+    old = max(len(values) - window + 1, 0)
+    values = np.concatenate((values, new))
+    count = max(len(values) - window + 1, 0)
+    best = np.concatenate((best, np.full(count - len(best), -np.inf)))
+    partner = np.concatenate((partner, np.full(count - len(partner), -1, np.int64)))
+    before = best.copy(), partner.copy()
+    if count > old:
+        for start in range(old, count, 512):
+            fresh = Windows(values[start : min(start + 512, count) + window - 1], window, 512, exact)
+            low_at = max(0, start - high) if high else 0
+            held = Windows(values[low_at : min(start + 512, count) + window - 1], window, count, exact)
+            rho = held.rho(fresh)
+            lag = (np.arange(len(fresh.rows)) + start)[None] - (np.arange(len(held.rows)) + low_at)[:, None]
+            rho[(lag < low) | (lag > (high or count)) | (rho < threshold)] = -np.inf
+            at = rho.argmax(1)
+            got = rho[np.arange(len(rho)), at]
+            better = got > best[low_at : low_at + len(got)]
+            rows = np.flatnonzero(better) + low_at
+            best[rows], partner[rows] = got[better], offset + start + at[better] + 1
+    changed = np.flatnonzero((best != before[0]) | (np.arange(count) >= old))
+    out = (offset + changed + 1, best[changed], partner[changed])
+    drop = max(len(values) - history, 0)
+    return values[drop:], best[drop:], partner[drop:], offset + drop, out
+
+
+def right_profile(stream: DataFrame, window: int, history: int, exclusion_zone: float = 0.5, time_constraint: int | None = None, threshold: float = -1.0, exact: bool = False) -> DataFrame:
+    """Update-mode rows (series_id, pos, right_matrix_profile, right_profile_index) of a stream of (series_id, pos, value).
+
+    The profile is a correlation, null with index -1 while there is no partner. ``exact``: values are whole numbers.
+    ``time_constraint`` limits how far apart partners are, ``threshold`` which correlations count. A window's last row holds.
+    """
+    if history < 2 * window:
+        raise ValueError("history holds two windows at least")
+    low = zone(window, exclusion_zone) + 1
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, offset, values, best, partner = state.get if state.exists else (0, 0, [], [], [])
+        rows = pd.concat(list(parts)).drop_duplicates("pos").sort_values("pos")
+        rows = rows[rows["pos"] > last]
+        if not len(rows):
+            return
+        held = np.array(values, float), np.array([-np.inf if b is None else b for b in best], float), np.array(partner, np.int64)
+        values, best, partner, offset, out = extend(*held, offset, rows["value"].to_numpy(float), window, low, history, time_constraint, exact, threshold)
+        state.update((int(rows["pos"].iloc[-1]), int(offset), values.tolist(), [None if np.isinf(b) else float(b) for b in best], partner.tolist()))
+        yield pd.DataFrame({"series_id": key[0], "pos": out[0], "right_matrix_profile": np.where(np.isinf(out[1]), np.nan, np.minimum(out[1], 1.0)), "right_profile_index": out[2]})
+
+    kept = "last long, offset long, values array<double>, best array<double>, partner array<long>"
+    rows = stream.selectExpr("series_id", "pos", "CAST(value AS DOUBLE) AS value")
+    return rows.groupBy("series_id").applyInPandasWithState(step, _PROFILE, kept, "update", GroupStateTimeout.NoTimeout)
+
+
+def fading(stream: DataFrame, window: int, eps: float = 0.90) -> DataFrame:
+    """Append-mode rows (series_id, pos, mov_sum, mov_mean, mov_var) of the fading statistics; state is three sums."""
+    a = eps ** (1 / window)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, sx, sq, s1 = state.get if state.exists else (0, 0.0, 0.0, 0.0)
+        rows = pd.concat(list(parts)).drop_duplicates("pos").sort_values("pos")
+        rows, out = rows[rows["pos"] > last], []
+        for pos, x in zip(rows["pos"], rows["value"]):
+            sx, sq, s1, last = a * sx + x, a * sq + x * x, a * s1 + 1.0, pos
+            if pos >= window:
+                out.append((key[0], pos - window + 1, sx, sx / s1, sq / s1 - (sx / s1) ** 2))
+        state.update((int(last), float(sx), float(sq), float(s1)))
+        yield pd.DataFrame(out, columns=["series_id", "pos", "mov_sum", "mov_mean", "mov_var"])
+
+    rows = stream.selectExpr("series_id", "pos", "CAST(value AS DOUBLE) AS value")
+    return rows.groupBy("series_id").applyInPandasWithState(step, "series_id string, pos long, mov_sum double, mov_mean double, mov_var double", "last long, sx double, sq double, s1 double", "append", GroupStateTimeout.NoTimeout)
+
+
+def replay(series: DataFrame, folder: str, batches: int, run) -> DataFrame:
+    """Run ``run(stream)`` over a series cut into micro-batches by position, and return all rows it emitted with ``batch``.
+
+    ``folder`` must be one that every executor reaches.
+    """
+    spark = series.sparkSession
+    top = series.agg({"pos": "max"}).first()[0] or 0
+    size = max(1, -(-top // batches))
+    for k in range(batches):
+        series.filter(f"pos > {k * size} AND pos <= {(k + 1) * size}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.selectExpr("*", f"{batch}L AS batch").write.mode("overwrite").parquet(f"{folder}/out/n={batch}")
+
+    out = run(stream)
+    mode = "update" if "right_matrix_profile" in out.columns else "append"
+    out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("n")
