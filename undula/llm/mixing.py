@@ -104,4 +104,4 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(number), pa.array(slot), pa.array(slot * block + rank % block)], [*names, "source_block", "slot", "position"])
 
     out = added(docs, source_block="long", slot="long", position="long")
-    return ranked(docs, "source", ["doc_id"], [c for c in ("doc_id", "text") if c in names]).select(*names, "rank").mapInArrow(run, out)
+    return ranked(docs, "source", ["doc_id"], [c for c in ("doc_id", "text") if c in names]).select(*names, "__rank").mapInArrow(run, out)

@@ -172,19 +172,19 @@ def slots(planned: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def ranked(rows: DataFrame, key: str, deal: list[str], order: list[str], per_bucket: int = 50_000) -> DataFrame:
-    """``rows`` with ``rank``, numbers from 0 within each value of ``key``.
+    """``rows`` with ``__rank``, numbers from 0 within each value of ``key``.
 
     A key is dealt over buckets by a hash of ``deal``, and ranks start at the sum of the buckets before, so a key that holds
     most rows is numbered by many tasks. ``rows`` is read twice and has to come from a stable source.
     """
     n = min(1 << 14, max(16, -(-rows.count() // per_bucket)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*deal), F.lit(n)).cast("int"))
-    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(key, "bucket").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col(key).alias("key_"), F.col("bucket").alias("bucket_"), "first")
-    within = Window.partitionBy(key, "bucket").orderBy(*order)
-    numbered = rows.withColumn("place_", F.row_number().over(within) - 1)
-    joined = numbered.join(starts, numbered[key].eqNullSafe(starts["key_"]) & (numbered["bucket"] == starts["bucket_"]))
-    return joined.withColumn("rank", F.col("place_") + F.col("first")).drop("key_", "bucket_", "bucket", "place_", "first")
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*deal), F.lit(n)).cast("int"))
+    before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(key, "__bucket").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), "__first")
+    within = Window.partitionBy(key, "__bucket").orderBy(*order)
+    numbered = rows.withColumn("__place", F.row_number().over(within) - 1)
+    joined = numbered.join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__bucket") == F.col("__of")))
+    return joined.withColumn("__rank", F.col("__place") + F.col("__first")).drop("__key", "__of", "__bucket", "__place", "__first")
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -197,12 +197,12 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         span = 1 << 45
         keys = at["length"] * span + at["rank"]
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "rank"))
+            length, rank = (b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("length", "__rank"))
             i = np.searchsorted(keys, length * span + rank, "right") - 1
             bins, nth = np.divmod(rank - at["rank"][i], at["each"][i])
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), pa.array(at["bin"][i] + bins), pa.array(at["offset"][i] + nth * length)], [*names, "sequence_id", "offset"])
 
-    return ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"]).select(*names, "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"]).select(*names, "__rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
