@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_counted
 
-#: Least similarity in per cent; bits of the table of word counts.
-PERCENT, COUNT_BITS = 80, 18
+#: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds).
+PERCENT, COUNT_BITS = 80, 16
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
-_WORDS = f"split(lower({{}}), '{_BLANK}')"
 
 
-def words_of(column: str) -> str:
-    """SQL for the distinct lower-cased words of a line."""
-    return f"filter(array_distinct({_WORDS.format(column)}), w -> w != '')"
+def words_of(line: str) -> str:
+    """SQL for the lower-cased words of a line. Splitting at a single space is much faster than at a pattern."""
+    other = " OR ".join(f"contains({line}, '{c}')" for c in ("\\t", "\\r", "\\u000B", "\\f"))
+    return f"array_remove(IF({other}, split(lower({line}), '{_BLANK}'), split(lower({line}), ' ')), '')"
 
 
 def _rarity(docs: DataFrame) -> str:
@@ -35,22 +35,25 @@ def _rarity(docs: DataFrame) -> str:
     not results.
     """
     slots = 1 << COUNT_BITS
-    slot = F.expr(f"CAST(xxhash64(w) & {slots - 1} AS INT)")
-    counts = docs.select(F.explode(F.expr(_WORDS.format("text"))).alias("w")).groupBy(slot.alias("slot")).count()
-    every = docs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
-    levels = every.join(counts, "slot", "left").select("slot", F.expr("CAST(2 * log2(1 + coalesce(count, 0)) AS INT)").alias("level"))
-    return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<int>)"
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
+    words = lines.select(F.explode(F.expr(words_of("t"))).alias("w"))
+    counts = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - COUNT_BITS})").alias("slot")).count()
+    every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot")
+    levels = every.join(counts, "slot", "left").select("slot", F.expr("shiftleft(CAST(2 * log2(1 + coalesce(count, 0)) AS BIGINT), 56)").alias("level"))
+    return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<bigint>)"
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, line, n, set_a, set_b (hashes of the set), mark (hash of number and text) and prefix of all lines with words."""
+    """doc, line, n, mark (hash of number and text), bits (64 of them, hashed from the words), set_a and set_b (hashes of the
+    set) and prefix of all lines with words."""
     levels = _rarity(docs)
-    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    rows = rows.withColumn("mark", F.xxhash64("line", "words")).withColumn("h", F.expr(f"array_distinct(transform(filter({_WORDS.format('words')}, w -> w != ''), w -> xxhash64(w)))"))
-    code = f"transform(h, x -> shiftleft(CAST(element_at({levels}, CAST(x & {(1 << COUNT_BITS) - 1} AS INT) + 1) AS LONG), 56) | shiftrightunsigned(x, 8))"
+    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    rows = rows.withColumn("mark", F.xxhash64("line", "t")).withColumn("h", F.expr(f"array_distinct(transform({words_of('t')}, w -> xxhash64(w)))"))
+    code = f"transform(h, x -> {levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] | shiftrightunsigned(x, 8))"
+    rows = rows.withColumn("bits", F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"))
     rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes")).filter("n > 0")
     prefix = F.expr(f"slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
-    return rows.select("doc", "line", "n", "mark", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
+    return rows.select("doc", "line", "n", "mark", "bits", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -59,7 +62,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     asked = durable(ends.distinct().groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked")
     near = join_counted(docs.withColumnRenamed("doc_id", "doc"), asked, ["doc"])
     lines = near.select("doc", F.explode(F.expr("transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i AS line, x AS text)), y -> array_contains(asked, y.line)), y -> y)")).alias("y"))
-    lines = durable(lines.select("doc", "y.line", F.xxhash64("y.line", "y.text").alias("mark"), F.expr(words_of("y.text")).alias("words")), "asked")
+    lines = durable(lines.select("doc", "y.line", F.xxhash64("y.line", "y.text").alias("mark"), F.array_distinct(F.expr(words_of("y.text"))).alias("words")), "asked")
     old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
     both = pairs.join(lines, ["doc", "line"]).join(old, ["doc_0", "line_0"])
     same = F.size(F.array_intersect("words", "words_0"))
@@ -69,23 +72,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc and marks of all lines to remove; ``docs`` has doc_id (long, nulls last) and text (not null)."""
     lines = durable(_lines(docs, percent), "lines")
-    sets = durable(lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("first"), F.count("*").alias("copies"), F.first("prefix").alias("prefix")), "sets")
+    sets = durable(lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
     again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", "first"), "again")
     copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != first.doc OR line != first.line OR mark != first.mark").select("doc", "mark")
 
-    posts = sets.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", F.posexplode("prefix").alias("at", "code"))
-    earliest = posts.groupBy("code").agg(F.count("*").alias("lines"), F.min("doc").alias("doc_0"), F.min_by(F.expr("shiftleft(CAST(line AS LONG), 32) | n"), "doc").alias("packed")).filter("lines > 1")
-    shared = durable(posts.join(earliest.select("code", "doc_0", F.expr("CAST(shiftright(packed, 32) AS INT)").alias("line_0"), F.expr("CAST(packed & 4294967295 AS INT)").alias("n_0")), "code"), "shared")
-    size = f"100 * least(n, n_0) >= {percent} * greatest(n, n_0)"
+    posts = sets.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits", F.posexplode("prefix").alias("at", "code"))
+    earliest = posts.groupBy("code").agg(F.count("*").alias("lines"), F.min("doc").alias("doc_0"), F.min_by(F.expr("shiftleft(CAST(line AS LONG), 32) | n"), "doc").alias("packed"), F.min_by("bits", "doc").alias("bits_0")).filter("lines > 1")
+    shared = durable(posts.join(earliest.select("code", "doc_0", F.expr("CAST(shiftright(packed, 32) AS INT)").alias("line_0"), F.expr("CAST(packed & 4294967295 AS INT)").alias("n_0"), "bits_0"), "code"), "shared")
     before = "(doc_0 < doc OR (doc_0 = doc AND line_0 < line))"
-    pairs = durable(shared.filter(f"{size} AND {before}").select("doc", "line", "doc_0", "line_0").distinct(), "pairs")
+    # a bit that one line has and the other lacks is a word that the other lacks
+    most = "least(n - bit_count(bits & ~bits_0), n_0 - bit_count(bits_0 & ~bits))"
+    size = f"{before} AND 100 * least(n, n_0) >= {percent} * greatest(n, n_0) AND {100 + percent} * {most} >= {percent} * (n + n_0)"
+    pairs = durable(shared.filter(size).select("doc", "line", "doc_0", "line_0").distinct(), "pairs")
     first = durable(_verified(docs, pairs, percent), "removed")
 
     settled = durable(first.select("doc", "line").distinct(), "settled")
-    left = join_counted(shared.select("code", "doc", "line", "n", "at"), settled, ["doc", "line"], "left_anti")
-    other = shared.select("code", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("at").alias("at_0"))
+    left = join_counted(shared.select("code", "doc", "line", "n", "at", "bits"), settled, ["doc", "line"], "left_anti")
+    other = shared.select(F.col("code").alias("code_0"), F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("at").alias("at_0"), F.col("bits").alias("bits_0"))
     place = f"{100 + percent} * (1 + least(n - at - 1, n_0 - at_0 - 1)) >= {percent} * (n + n_0)"
-    rest = left.join(other, "code").filter(f"{before} AND {size} AND {place}").select("doc", "line", "doc_0", "line_0").distinct()
+    rest = left.join(other, F.expr(f"code = code_0 AND {size} AND {place}")).select("doc", "line", "doc_0", "line_0").distinct()
     rest = durable(rest.join(pairs, ["doc", "line", "doc_0", "line_0"], "left_anti"), "pairs")
     second = _verified(docs, rest, percent)
     return copies.unionByName(first.select("doc", "mark")).unionByName(second.select("doc", "mark"))
