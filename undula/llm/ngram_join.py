@@ -7,8 +7,8 @@ cannot link. What is left meets in tiles, one for each (shingle, band of sizes):
 one band. In a tile, hashed bitmap signatures bound the overlap from above (bits of one that the other lacks are shingles
 that it lacks); pairs that pass are intersected exactly as sorted arrays.
 
-Families of near copies are joined up first: sets with the same smallest shingle (dealt over parts of a bounded size) grow
-components from a seed, each compared only with those not yet reached. In the tiles, pairs of one component are then left
+Families of near copies are joined up first: in a few rounds, sets with the same smallest shingle (then second smallest and so
+on, dealt over parts of a bounded size) grow components from a seed, each compared only with those not yet reached. In the tiles, pairs of one component are then left
 out, and tiles of one component altogether; so a large family costs no square of its size, while every link between
 different components is found.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from .components import components
 from .textkit import binary, buffers, hashed, shingles, slices
 
 #: Words of a shingle and least similarity in per cent; text bytes hashed at a time; sets of a part at most; a shingle of
-#: more than one in FREQUENT classes counts as frequent (so there are at most FREQUENT times the mean set size of them).
-WORDS, PERCENT, SLICE, PART, FREQUENT = 5, 80, 4 << 20, 2000, 2000
+#: more than one in FREQUENT classes counts as frequent (so there are at most FREQUENT times the mean set size of them); rounds
+#: that join up families.
+WORDS, PERCENT, SLICE, PART, FREQUENT, ROUNDS = 5, 80, 4 << 20, 2000, 2000, 4
 _BLOOM = 1 << 23
 _SIGNATURE = 512
 
@@ -218,7 +220,7 @@ def grow(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.
 
 
 def _grown(sets: DataFrame, nth: int, percent: int) -> DataFrame:
-    """rep, label: components inside tiles of one shingle, the ``nth`` smallest of each set."""
+    """rep, label: links found inside tiles of one shingle, the ``nth`` smallest of each set."""
 
     def key(batches):
         for b in batches:
@@ -226,14 +228,12 @@ def _grown(sets: DataFrame, nth: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array([x[min(nth, len(x) - 1)] for x in s], np.uint64).view(np.int64))], ["rep", "hashes", "tile"])
 
     tiles = sets.select("rep", "n", "hashes").mapInArrow(key, "rep long, hashes binary, tile long")
-    counted = tiles.join(tiles.groupBy("tile").count(), "tile").withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / PART)))
-    alone = counted.filter("count = 1").select("rep", F.col("rep").alias("label"))
-
+    counted = tiles.join(tiles.groupBy("tile").count(), "tile").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(nth)), F.ceil(F.col("count") / PART)))
     def one(t: pa.Table) -> pa.Table:
         ids = t["rep"].to_numpy().astype(np.int64)
         return pa.table({"rep": ids, "label": grow(ids, [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()], percent)})
 
-    return alone.unionByName(counted.filter("count > 1").select("tile", "part", "rep", "hashes").groupBy("tile", "part").applyInArrow(one, "rep long, label long"))
+    return counted.filter("count > 1").select("tile", "part", "rep", "hashes").groupBy("tile", "part").applyInArrow(one, "rep long, label long").filter("rep != label")
 
 
 def _band(n: np.ndarray, percent: int) -> np.ndarray:
@@ -330,10 +330,9 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     sets = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(gather, "rep long, print binary, hashes binary")
     sets = durable(sets.join(able, ["rep", "print"]).dropDuplicates(["rep", "print"]).select("rep", "n", "hashes"), "sets")
-    first = durable(_grown(sets, 0, percent), "grown")
-    heads = sets.join(first.filter("rep = label").select("rep"), "rep", "left_semi")
-    second = durable(_grown(heads, 1, percent), "grown").toDF("label", "comp")
-    comps = durable(first.join(second, "label").select("rep", "comp"), "comps")
+    links = durable(reduce(DataFrame.unionByName, (_grown(sets, k, percent) for k in range(ROUNDS))).distinct(), "links")
+    grown = durable(components(links.toDF("a", "b")), "grown")
+    comps = sets.select("rep").join(grown.toDF("rep", "comp"), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     known = durable(sets.join(comps, "rep"), "known")
     posts = _postings(known, tokens, parts, percent)
     mixed = durable(posts.groupBy("token", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("role").alias("r")).filter("x < y AND r = 0").select("token", "band"), "tiles")
