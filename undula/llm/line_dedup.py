@@ -5,9 +5,9 @@ later one (by doc_id, then line number) is removed. Words become numbers that so
 in which any similar line must share a word, and lines that share such a word become candidates if their lengths and the
 word's positions still allow the similarity. Candidates are compared as sets of words.
 
-Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here. Then
-each line is compared with the earliest line of each of its prefix words, which settles families of near copies at linear
-cost; only lines that are still there are compared with all earlier lines of their prefix words.
+Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
+Where a prefix word has more than MANY lines, as in families of near copies, each line is first compared with the earliest
+one, which settles the family at linear cost; only lines that are still there are compared with all earlier ones.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_counted
 
-#: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds).
-PERCENT, COUNT_BITS = 80, 16
+#: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds); lines
+#: of a prefix word that are compared with each other at once.
+PERCENT, COUNT_BITS, MANY = 80, 16, 100
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -45,14 +46,14 @@ def _rarity(docs: DataFrame) -> str:
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
     """doc, line, n, mark (hash of number and text), bits (64 of them, hashed from the words), set_a and set_b (hashes of the
-    set) and prefix of all lines with words."""
+    set) and prefix (hashed to 32 bits, which can only add candidates) of all lines with words."""
     levels = _rarity(docs)
-    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     rows = rows.withColumn("mark", F.xxhash64("line", "t")).withColumn("h", F.expr(f"array_distinct(transform({words_of('t')}, w -> xxhash64(w)))"))
     code = f"transform(h, x -> {levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] | shiftrightunsigned(x, 8))"
     rows = rows.withColumn("bits", F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"))
-    rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes")).filter("n > 0")
-    prefix = F.expr(f"slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
+    rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes"))
+    prefix = F.expr(f"transform(slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1), x -> hash(x))")
     return rows.select("doc", "line", "n", "mark", "bits", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
@@ -72,28 +73,33 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc and marks of all lines to remove; ``docs`` has doc_id (long, nulls last) and text (not null)."""
     lines = durable(_lines(docs, percent), "lines")
-    sets = durable(lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("first"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "sets")
-    again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", "first"), "again")
-    copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != first.doc OR line != first.line OR mark != first.mark").select("doc", "mark")
-
-    posts = sets.select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits", F.posexplode("prefix").alias("at", "code"))
-    earliest = posts.groupBy("code").agg(F.count("*").alias("lines"), F.min("doc").alias("doc_0"), F.min_by(F.expr("shiftleft(CAST(line AS LONG), 32) | n"), "doc").alias("packed"), F.min_by("bits", "doc").alias("bits_0")).filter("lines > 1")
-    shared = durable(posts.join(earliest.select("code", "doc_0", F.expr("CAST(shiftright(packed, 32) AS INT)").alias("line_0"), F.expr("CAST(packed & 4294967295 AS INT)").alias("n_0"), "bits_0"), "code"), "shared")
-    before = "(doc_0 < doc OR (doc_0 = doc AND line_0 < line))"
+    sets = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("e"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    sets = durable(sets.select("set_a", "set_b", "n", "copies", "bits", "prefix", "e.*"), "sets")
+    again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("mark").alias("mark_0")), "again")
+    copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != doc_0 OR line != line_0 OR mark != mark_0").select("doc", "mark")
+
+    posts = sets.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "code"))
+    many = durable(posts.groupBy("code").count().filter(f"count > {MANY}").select("code"), "many")
+    before = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     # a bit that one line has and the other lacks is a word that the other lacks
-    most = "least(n - bit_count(bits & ~bits_0), n_0 - bit_count(bits_0 & ~bits))"
-    size = f"{before} AND 100 * least(n, n_0) >= {percent} * greatest(n, n_0) AND {100 + percent} * {most} >= {percent} * (n + n_0)"
-    pairs = durable(shared.filter(size).select("doc", "line", "doc_0", "line_0").distinct(), "pairs")
-    first = durable(_verified(docs, pairs, percent), "removed")
-
-    settled = durable(first.select("doc", "line").distinct(), "settled")
-    left = join_counted(shared.select("code", "doc", "line", "n", "at", "bits"), settled, ["doc", "line"], "left_anti")
-    other = shared.select(F.col("code").alias("code_0"), F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("at").alias("at_0"), F.col("bits").alias("bits_0"))
-    place = f"{100 + percent} * (1 + least(n - at - 1, n_0 - at_0 - 1)) >= {percent} * (n + n_0)"
-    rest = left.join(other, F.expr(f"code = code_0 AND {size} AND {place}")).select("doc", "line", "doc_0", "line_0").distinct()
-    rest = durable(rest.join(pairs, ["doc", "line", "doc_0", "line_0"], "left_anti"), "pairs")
-    second = _verified(docs, rest, percent)
-    return copies.unionByName(first.select("doc", "mark")).unionByName(second.select("doc", "mark"))
+    most = "least(b.n - bit_count(b.bits & ~a.bits), a.n - bit_count(a.bits & ~b.bits))"
+    size = f"{before} AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * {most} >= {percent} * (a.n + b.n)"
+    place = f"{100 + percent} * (1 + least(a.n - a.at, b.n - b.at) - 1) >= {percent} * (a.n + b.n)"
+    pair = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0")]
+
+    few = join_counted(posts, many, ["code"], "left_anti")
+    pairs = durable(few.alias("a").join(few.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair).distinct(), "pairs")
+    gone = durable(_verified(docs, pairs, percent), "removed")
+
+    # words of many lines: each line against the earliest, then what is left against all
+    crowd = durable(join_counted(posts, many, ["code"], "left_semi"), "crowd")
+    earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits")).alias("e")).select("code", "e.*")
+    pairs = durable(earliest.alias("a").join(crowd.alias("b"), F.expr(f"a.code = b.code AND {size}")).select(*pair).distinct(), "pairs")
+    gone = durable(gone.unionByName(_verified(docs, pairs, percent)).distinct(), "removed")
+    left = join_counted(crowd, durable(gone.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
+    pairs = durable(crowd.alias("a").join(left.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair).distinct(), "pairs")
+    last = _verified(docs, pairs, percent)
+    return copies.unionByName(gone.select("doc", "mark")).unionByName(last.select("doc", "mark"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
