@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Edges of a node, candidates held while building and searching, factor of the pruning, rows of a shard at most.
-DEGREE, BUILD_BEAM, BEAM, RELAX, SHARD_ROWS = 28, 56, 96, 1.2, 200_000
+#: Edges of a node, candidates held while building and searching (at least; twice the root of a shard's rows), factor of the pruning, rows of a shard at most.
+DEGREE, BUILD_BEAM, BEAM, RELAX, SHARD_ROWS = 32, 72, 128, 1.2, 200_000
 
 
 def _merge(ids, dist, done, more, far, beam):
@@ -185,7 +185,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEA
         size, out = max(16, min(512, (1 << 26) // n)), []
         for s in range(0, len(q), size):
             some = q[s : s + size]
-            found, _ = beam_search(x, graph, row["start"], np.hstack((some, np.zeros((len(some), 1)))).astype(np.float32), min(beam, max(n, k + 1)))
+            found, _ = beam_search(x, graph, row["start"], np.hstack((some, np.zeros((len(some), 1)))).astype(np.float32), min(max(beam, int(2 * n**0.5)), max(n, k + 1)))
             found = found[:, : k + 1]
             r, c = np.nonzero(found >= 0)
             f = found[r, c]
