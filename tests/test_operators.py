@@ -10,6 +10,7 @@ from undula.operators import contrast as ct
 from undula.operators import mass as ms
 from undula.operators import profile as pf
 from undula.operators import rolling as ro
+from undula import sources
 from undula.sources import as_series, zone
 
 RNG = np.random.default_rng(5)
@@ -49,8 +50,10 @@ def as_distance(best, w):
     return np.where(np.isfinite(best), np.sqrt(np.maximum(0, 2 * w * (1 - np.minimum(best, 1)))), np.inf)
 
 
+@pytest.mark.parametrize("block", [5, 16, 65_536])
 @pytest.mark.parametrize("kind", ["ogita", "normal"])
-def test_rolling(spark, kind):
+def test_rolling(spark, kind, block, monkeypatch):
+    monkeypatch.setattr(sources, "BLOCK", block)
     s, v = frame(spark, X, Y), windows(X, 7)
     assert np.allclose(column(ro.mov_sum(s, 7, kind), "mov_sum"), v.sum(1))
     assert np.allclose(column(ro.mov_mean(s, 7, kind), "mov_mean"), v.mean(1))
@@ -69,7 +72,7 @@ def test_folds_in_blocks(spark, kind, monkeypatch):
         s = a * s + x - (a ** (w - 1) * X[i - w] if kind == "weighted" and i >= w else 0)
         expected.append(s)
     for block in (17, 1000):
-        monkeypatch.setattr(ro, "BLOCK", block)
+        monkeypatch.setattr(sources, "BLOCK", block)
         assert np.allclose(column(ro.mov_sum(frame(spark, X), w, kind), "mov_sum"), expected[w - 1 :], atol=1e-9)
 
 
@@ -83,8 +86,11 @@ def test_rolling_guards(spark):
     assert pd.isna(column(ro.mov_min(frame(spark, [float("inf")] * 4), 2), "mov_min")).all()
 
 
-def test_zero_crossing_leaves_out_the_last_pair(spark):
+@pytest.mark.parametrize("block", [4, 65_536])
+def test_zero_crossing_leaves_out_the_last_pair(spark, block, monkeypatch):
+    monkeypatch.setattr(sources, "BLOCK", block)
     s = frame(spark, [1.0, -1.0] * 10)
+    assert fn.complexity(s).first()["complexity"] == np.sqrt(19 * 4)
     assert (column(ro.zero_crossing(s, 6), "zero_crossing") == 4).all()
     assert (column(ro.zero_crossing(s, 2), "zero_crossing") == 0).all()
 
@@ -209,6 +215,9 @@ def test_series_from_a_table(spark):
     rows = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("b", 2, 5.0)], "k string, t int, v double")
     got = sorted(map(tuple, as_series(rows, "v", "t", "k").collect()))
     assert got == [("a", 1, 2.0), ("a", 2, 1.0), ("b", 1, 5.0)]
+    long = spark.range(5000).selectExpr("id % 2 AS k", "hash(id) AS t", "id AS v")
+    plain, spread = (sorted(map(tuple, as_series(long, "v", ["t", "v"], "k", spread=x).collect())) for x in (False, True))
+    assert plain == spread
     with pytest.raises(ValueError):
         ro.mov_sum(rows, 3)
     empty = frame(spark, [])

@@ -7,7 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import check, is_exact
+from ..sources import check, haloed, is_exact, own
 
 #: At or below this deviation ``znorm`` only subtracts the mean.
 FLAT = 0.01
@@ -54,9 +54,9 @@ def normalize(series: DataFrame, min_lim: float = 0.0, max_lim: float = 1.0) ->
 
 def complexity(series: DataFrame) -> DataFrame:
     """Root of the summed squares of the steps, by series."""
-    series = check(series)
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("series_id").orderBy("pos"))
-    return series.select("series_id", step.alias("d")).groupBy("series_id").agg(F.sqrt(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0)).cast("double")).alias("complexity"))
+    step = F.col("value") - F.lag("value").over(Window.partitionBy("series_id", "block").orderBy("pos"))
+    steps = haloed(check(series), 0, 1).select("series_id", "pos", "block", step.alias("d")).filter(own())
+    return steps.groupBy("series_id").agg(F.sqrt(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0)).cast("double")).alias("complexity"))
 
 
 def mode(series: DataFrame) -> DataFrame:

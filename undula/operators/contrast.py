@@ -36,7 +36,7 @@ def contrast(negative: DataFrame, positive: DataFrame, window: int, positive_mat
     values = check(positive)
 
     def cut(at: str, name: str) -> DataFrame:
-        rows = values.join(F.broadcast(top.select("series_id", at)), "series_id").filter(f"pos BETWEEN {at} AND {at} + {window - 1}")  # one row a series
+        rows = values.join(top.select("series_id", at), "series_id").filter(f"pos BETWEEN {at} AND {at} + {window - 1}")
         return rows.groupBy("series_id").agg(F.expr("transform(array_sort(collect_list(struct(pos, value))), x -> CAST(x.value AS DOUBLE))").alias(name))
 
     full = top.join(cut("plato_idx", "plato"), "series_id", "left").join(cut("plato_nn_idx", "plato_nn"), "series_id", "left")

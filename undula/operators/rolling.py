@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moments
-from ..sources import check, is_exact
+from .. import sources
+from ..sources import check, haloed, is_exact, own
 
 KINDS = ("ogita", "normal", "weighted", "fading")
-#: Values that one task folds at a time.
-BLOCK = 65_536
 
 
 def _guard(window: int, kind: str = "ogita") -> None:
@@ -30,17 +29,17 @@ def _guard(window: int, kind: str = "ogita") -> None:
 
 
 def _frame(window: int):
-    return Window.partitionBy("series_id").orderBy("pos").rowsBetween(0, window - 1)
+    return Window.partitionBy("series_id", "block").orderBy("pos").rowsBetween(0, window - 1)
 
 
 def statistics(series: DataFrame, window: int, **wanted: Column) -> DataFrame:
     """series_id, pos and the wanted expressions over n, s, q, low, high, avg, var (population) of each whole window."""
     series, f = check(series), _frame(window)
     v = F.col("value")
-    rows = series.select("series_id", "pos", F.count(F.lit(1)).over(f).alias("n"), F.sum(v).over(f).alias("s"), F.sum(v * v).over(f).alias("q"), F.min(v).over(f).alias("low"), F.max(v).over(f).alias("high"), *([] if is_exact(series) else [F.avg(v).over(f).alias("avg"), F.var_pop(v).over(f).alias("var")]))
+    rows = haloed(series, window - 1).select("series_id", "pos", "block", F.count(F.lit(1)).over(f).alias("n"), F.sum(v).over(f).alias("s"), F.sum(v * v).over(f).alias("q"), F.min(v).over(f).alias("low"), F.max(v).over(f).alias("high"), *([] if is_exact(series) else [F.avg(v).over(f).alias("avg"), F.var_pop(v).over(f).alias("var")]))
     if is_exact(series):
         rows = rows.withColumn("avg", F.expr("CAST(s AS DOUBLE) / n")).withColumn("var", F.expr("CAST(n * q - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)"))
-    return rows.filter(F.col("n") == window).select("series_id", "pos", *(e.alias(k) for k, e in wanted.items()))
+    return rows.filter(own() & (F.col("n") == window)).select("series_id", "pos", *(e.alias(k) for k, e in wanted.items()))
 
 
 def mov_sum(series: DataFrame, window: int, type: str = "ogita", eps: float = 0.90) -> DataFrame:
@@ -79,9 +78,9 @@ def _extreme(series: DataFrame, window: int, what: str, name: str, none: str) ->
     _guard(window)
     series, f = check(series), _frame(window)
     one = (F.min if what == "low" else F.max)("value").over(f)
-    size = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    rows = series.select("series_id", "pos", one.alias(name), F.count(F.lit(1)).over(f).alias("n"), size.alias("all"))
-    rows = rows.filter(F.col("n") == F.least(F.lit(window), "all"))
+    sizes = series.groupBy("series_id").agg(F.count("*").alias("all"))
+    rows = haloed(series, window - 1).select("series_id", "pos", "block", one.alias(name), F.count(F.lit(1)).over(f).alias("n")).filter(own())
+    rows = rows.join(sizes, "series_id").filter(F.col("n") == F.least(F.lit(window), "all"))
     return rows.select("series_id", "pos", name if is_exact(series) else F.nullif(F.col(name), F.lit(float(none))).alias(name))
 
 
@@ -100,13 +99,13 @@ def muinvn(series: DataFrame, window: int) -> DataFrame:
 def zero_crossing(series: DataFrame, window: int) -> DataFrame:
     """Sign changes of the z-normalised series between neighbours ``pos + 1 .. pos + w - 2``: the last pair isn't counted."""
     series = check(series)
-    by = Window.partitionBy("series_id").orderBy("pos")
-    rows = series.join(moments(series), "series_id")
+    by = Window.partitionBy("series_id", "block").orderBy("pos")
     side = F.signum(F.col("value") - F.col("mean"))
-    rows = rows.select("series_id", "pos", side.alias("side")).withColumn("flag", (F.col("side") * F.lag("side").over(by) < 0).cast("int"))
+    rows = haloed(series.join(moments(series), "series_id").select("series_id", "pos", side.alias("side")), window - 1, 1)
+    rows = rows.withColumn("flag", (F.col("side") * F.lag("side").over(by) < 0).cast("int"))
     pairs = F.sum("flag").over(by.rowsBetween(1, window - 2)) if window > 2 else F.lit(0)
-    rows = rows.select("series_id", "pos", F.coalesce(pairs, F.lit(0)).cast("int").alias("zero_crossing"), F.count(F.lit(1)).over(_frame(window)).alias("n"))
-    return rows.filter(F.col("n") == window).select("series_id", "pos", "zero_crossing")
+    rows = rows.select("series_id", "pos", "block", F.coalesce(pairs, F.lit(0)).cast("int").alias("zero_crossing"), F.count(F.lit(1)).over(_frame(window)).alias("n"))
+    return rows.filter(own() & (F.col("n") == window)).select("series_id", "pos", "zero_crossing")
 
 
 def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) -> DataFrame:
@@ -118,9 +117,8 @@ def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) ->
     """
     series, a = check(series), eps ** (1 / window)
     drop = a ** (window - 1) if kind == "weighted" else 0.0
-    by = Window.partitionBy("series_id").orderBy("pos")
-    rows = series.select("series_id", "pos", F.col("value").cast("double").alias("x"), F.lag(F.col("value").cast("double"), window).over(by).alias("old"))
-    rows = rows.withColumn("block", F.expr(f"CAST((pos - 1) DIV {BLOCK} AS INT)"))
+    by = Window.partitionBy("series_id", "block").orderBy("pos")
+    rows = haloed(series, 0, window).select("series_id", "pos", "block", F.col("value").cast("double").alias("x"), F.lag(F.col("value").cast("double"), window).over(by).alias("old")).filter(own())
 
     def fold(u: np.ndarray) -> np.ndarray:
         return np.fromiter(accumulate(u, lambda s, v: a * s + v), float, len(u))
@@ -145,7 +143,7 @@ def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) ->
 
     ends = folded.groupBy("series_id", "block").agg(F.count("*").alias("size"), *(F.max_by(c, "pos").alias(c) for c in ("sx", "sq", "s1")))
     starts = ends.groupBy("series_id").applyInPandas(carry, "series_id string, block int, cx double, cq double, c1 double")
-    decay = F.pow(F.lit(a), (F.col("pos") - F.col("block").cast("bigint") * BLOCK).cast("double"))
+    decay = F.pow(F.lit(a), (F.col("pos") - F.col("block").cast("bigint") * sources.BLOCK).cast("double"))
     whole = folded.join(starts, ["series_id", "block"]).select("series_id", "pos", *((F.col(f"s{k}") + decay * F.col(f"c{k}")).alias(k) for k in ("x", "q", "1")))
     mean = F.col("x") / F.col("1")
     value = {"mov_sum": F.col("x"), "mov_mean": mean, "mov_var": F.col("q") / F.col("1") - mean * mean}[name]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Values of a block, the piece of a series that one task handles.
+BLOCK = 65_536
 INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -15,14 +17,41 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def as_series(df: DataFrame, value: str | Column, order_by: str | list[str], key: str | Column | None = None) -> DataFrame:
-    """Rows ordered by ``order_by`` as one series, or as one per value of ``key``. Integral values stay integral."""
+def as_series(df: DataFrame, value: str | Column, order_by: str | list[str], key: str | Column | None = None, spread: bool = False) -> DataFrame:
+    """Rows ordered by ``order_by`` as one series, or as one per value of ``key``. Integral values stay integral.
+
+    A series is numbered by one task; with ``spread`` it is cut into ranges, whose sizes give the first number of each: for
+    series too long for a task, at the cost of a second shuffle. ``order_by`` must tell a series' rows apart.
+    """
     order = [order_by] if isinstance(order_by, str) else order_by
     value = F.col(value) if isinstance(value, str) else value
     key = F.lit("all") if key is None else F.col(key) if isinstance(key, str) else key
-    rows = df.select(key.cast("string").alias("series_id"), value.alias("value"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)))
-    place = Window.partitionBy("series_id").orderBy(*(f"_o{i}" for i in range(len(order))))
-    return rows.select("series_id", F.row_number().over(place).cast("bigint").alias("pos"), "value")
+    by = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(key.cast("string").alias("series_id"), value.alias("value"), *(F.col(c).alias(o) for c, o in zip(order, by)))
+    if not spread:
+        place = F.row_number().over(Window.partitionBy("series_id").orderBy(*by))
+        return rows.select("series_id", place.cast("bigint").alias("pos"), "value")
+    ranges = rows.repartitionByRange("series_id", *by).withColumn("_range", F.spark_partition_id())
+    before = Window.partitionBy("series_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranges.groupBy("series_id", "_range").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    numbered = ranges.withColumn("n", F.row_number().over(Window.partitionBy("series_id", "_range").orderBy(*by)))
+    same = numbered["series_id"].eqNullSafe(firsts["series_id"]) & (numbered["_range"] == firsts["_range"])
+    return numbered.join(firsts, same).select(numbered["series_id"], (F.col("first") + F.col("n")).cast("bigint").alias("pos"), "value")
+
+
+def haloed(series: DataFrame, ahead: int = 0, behind: int = 0) -> DataFrame:
+    """``series`` with ``block``: each row in the block of its position, and a copy in each block whose rows look that far.
+
+    Frames partitioned by (series_id, block) then see what they need of a series of any length; keep rows of ``own`` blocks.
+    """
+    low = F.expr(f"CAST(greatest(pos - 1 - {ahead}, 0) DIV {BLOCK} AS INT)")
+    high = F.expr(f"CAST((pos - 1 + {behind}) DIV {BLOCK} AS INT)")
+    return series.withColumn("block", F.explode(F.sequence(low, high)))
+
+
+def own() -> Column:
+    """Whether a row of ``haloed`` is in its own block."""
+    return F.expr(f"(pos - 1) DIV {BLOCK} = block")
 
 
 def daily(df: DataFrame, day: str, total: Column | None = None, series_id: str = "all") -> DataFrame:
