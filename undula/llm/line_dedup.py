@@ -19,7 +19,7 @@ from .common import durable, join_counted
 
 #: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds); lines
 #: of a prefix word that are compared with each other at once.
-PERCENT, COUNT_BITS, MANY = 80, 16, 100
+PERCENT, COUNT_BITS, MANY = 80, 16, 50
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -57,12 +57,12 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", "line", "n", "mark", "bits", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Marks of the later lines of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
+def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Later lines (doc, line, mark) of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_0").alias("doc"), F.col("line_0").alias("line")))
     asked = durable(ends.distinct().groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked")
     near = join_counted(docs.withColumnRenamed("doc_id", "doc"), asked, ["doc"])
-    lines = near.select("doc", F.explode(F.expr("transform(filter(transform(split(text, '\\n'), (x, i) -> struct(i AS line, x AS text)), y -> array_contains(asked, y.line)), y -> y)")).alias("y"))
+    lines = near.select("doc", F.explode(F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(i AS line, x AS text)), y -> array_contains(asked, y.line))")).alias("y"))
     lines = durable(lines.select("doc", "y.line", F.xxhash64("y.line", "y.text").alias("mark"), F.array_distinct(F.expr(words_of("y.text"))).alias("words")), "asked")
     old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
     both = pairs.join(lines, ["doc", "line"]).join(old, ["doc_0", "line_0"])
@@ -70,6 +70,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * same >= percent * (F.size("words") + F.size("words_0") - same)).select("doc", "line", "mark").distinct()
 
 
+def _similar(docs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """Later lines of the candidate pairs that are similar; candidates repeat a pair for each word that led to it.
+
+    One similar earlier line is enough, so each line is first compared with the one that it shares most words with, and only
+    if that fails with the others: a family of n copies costs n comparisons.
+    """
+    pairs = durable(candidates.groupBy("doc", "line", "doc_0", "line_0").agg(F.count("*").alias("shared")), "pairs")
+    top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
+    top = durable(top, "top")
+    first = durable(_compared(docs, top, percent), "removed")
+    rest = durable(join_counted(pairs.drop("shared"), durable(first.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti").join(top, ["doc", "line", "doc_0", "line_0"], "left_anti"), "rest")
+    return first.unionByName(_compared(docs, rest, percent))
+
+
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc and marks of all lines to remove; ``docs`` has doc_id (long, nulls last) and text (not null)."""
     lines = durable(_lines(docs, percent), "lines")
@@ -88,17 +102,16 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pair = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0")]
 
     few = join_counted(posts, many, ["code"], "left_anti")
-    pairs = durable(few.alias("a").join(few.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair).distinct(), "pairs")
-    gone = durable(_verified(docs, pairs, percent), "removed")
+    gone = durable(_similar(docs, few.alias("a").join(few.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair), percent), "removed")
 
     # words of many lines: each line against the earliest, then what is left against all
     crowd = durable(join_counted(posts, many, ["code"], "left_semi"), "crowd")
     earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits")).alias("e")).select("code", "e.*")
-    pairs = durable(earliest.alias("a").join(crowd.alias("b"), F.expr(f"a.code = b.code AND {size}")).select(*pair).distinct(), "pairs")
-    gone = durable(gone.unionByName(_verified(docs, pairs, percent)).distinct(), "removed")
-    left = join_counted(crowd, durable(gone.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
-    pairs = durable(crowd.alias("a").join(left.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair).distinct(), "pairs")
-    last = _verified(docs, pairs, percent)
+    settled = durable(gone.select("doc", "line").distinct(), "settled")
+    crowd = durable(join_counted(crowd, settled.withColumn("done", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done"), "crowd")
+    gone = durable(gone.unionByName(_similar(docs, earliest.alias("a").join(crowd.filter("open").alias("b"), F.expr(f"a.code = b.code AND {size}")).select(*pair), percent)).distinct(), "removed")
+    left = join_counted(crowd.filter("open"), durable(gone.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
+    last = _similar(docs, crowd.alias("a").join(left.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair), percent)
     return copies.unionByName(gone.select("doc", "mark")).unionByName(last.select("doc", "mark"))
 
 
