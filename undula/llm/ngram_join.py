@@ -33,7 +33,7 @@ from .textkit import binary, buffers, hashed, shingles, slices
 #: that join up families.
 WORDS, PERCENT, SLICE, PART, FREQUENT, ROUNDS = 5, 80, 4 << 20, 2000, 2000, 4
 _BLOOM = 1 << 23
-_SIGNATURE = 512
+_SIGNATURE = 2048
 
 
 def need(n, percent: int = PERCENT):
@@ -245,32 +245,42 @@ def _postings(sets: DataFrame, frequent: np.ndarray, parts: int, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reps, comps = b.column(0).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
-            token, row = [], []
-            sets_ = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
-            for i, s in enumerate(sets_):
+            token, row, at, n = [], [], [], []
+            for i, x in enumerate(b.column(1)):
+                s = np.frombuffer(x.as_py(), np.uint64)
                 fold = ((s >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)) << np.uint64(32) | s & np.uint64(0xFFFFFFFF)
-                late = np.isin(fold.astype(np.int64), frequent, assume_unique=False) if len(frequent) else np.zeros(len(s), bool)
+                late = np.isin(fold.astype(np.int64), frequent) if len(frequent) else np.zeros(len(s), bool)
                 first = np.concatenate((s[~late], s[late]))[: len(s) - need(len(s), percent) + 1]
                 token.append(first.view(np.int64))
                 row.append(np.full(len(first), i))
+                at.append(np.arange(len(first), dtype=np.int32))
+                n.append(len(s))
             if not row:
                 continue
-            token, row = np.concatenate(token), np.concatenate(row)
-            n = np.array([len(s) for s in sets_], np.int64)
-            band, sig = _band(n, percent), pa.array([x.tobytes() for x in signatures(sets_)], pa.binary())
+            token, row, at, n = np.concatenate(token), np.concatenate(row), np.concatenate(at), np.array(n, np.int64)
+            reps, comps, band = b.column(0).to_numpy(zero_copy_only=False)[row], b.column(2).to_numpy(zero_copy_only=False)[row], _band(n, percent)[row]
             for role in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(band[row] + role), pa.array(np.full(len(row), role, np.int32)), pa.array(reps[row]), pa.array(comps[row]), pa.array(n[row]), sig.take(pa.array(row))], ["token", "band", "role", "rep", "comp", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, band + role, np.full(len(row), role, np.int32), reps, comps, n[row], at)], ["token", "band", "role", "rep", "comp", "n", "at"])
 
-    return sets.select("rep", "n", "hashes", "comp").mapInArrow(run, "token long, band int, role int, rep long, comp long, n long, sig binary")
+    return sets.select("rep", "hashes", "comp").mapInArrow(run, "token long, band int, role int, rep long, comp long, n long, at int")
+
+
+def _signed(sets: DataFrame) -> DataFrame:
+    """rep and sig, the bitmap signature of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), binary(list(signatures([np.frombuffer(x.as_py(), np.uint64) for x in b.column(1)])))], ["rep", "sig"])
+
+    return sets.select("rep", "hashes").mapInArrow(run, "rep long, sig binary")
 
 
 def _candidates(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs, within the tiles of one lot, that lie in different components and can link by sizes and bit counts.
+    """Pairs, within the tiles of one lot, that lie in different components and can link by sizes, places and bit counts.
 
     Members of a tile (role 0) are paired with the later members and with the visitors (role 1).
     """
-    col = {c: t[c].to_numpy().astype(np.int64) for c in ("token", "band", "role", "rep", "comp", "n")}
+    col = {c: t[c].to_numpy().astype(np.int64) for c in ("token", "band", "role", "rep", "comp", "n", "at")}
     sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
     order = np.lexsort((col["rep"], col["role"], col["band"], col["token"]))
     col, sig = {k: v[order] for k, v in col.items()}, sig[order]
@@ -285,7 +295,8 @@ def _candidates(t: pa.Table, percent: int) -> pa.Table:
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(much[at:to]) - much[at:to], much[at:to])
         at = to
         n_i, n_j = col["n"][i], col["n"][j]
-        fine = (col["comp"][i] != col["comp"][j]) & (100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j))
+        room = np.minimum(n_i - col["at"][i], n_j - col["at"][j])  # from their first common shingle on, no more can be common
+        fine = (col["comp"][i] != col["comp"][j]) & (100 * np.minimum(n_i, n_j) >= percent * np.maximum(n_i, n_j)) & (100 * room >= percent * (n_i + n_j - room))
         i, j, n_i, n_j = i[fine], j[fine], n_i[fine], n_j[fine]
         a, b = sig[i], sig[j]
         most = np.minimum(n_i - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_j - np.bitwise_count(~a & b).sum(1, dtype=np.int64))
@@ -337,7 +348,8 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posts = _postings(known, tokens, parts, percent)
     mixed = durable(posts.groupBy("token", "band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("role").alias("r")).filter("x < y AND r = 0").select("token", "band"), "tiles")
     lot = F.pmod(F.xxhash64("token", "band"), F.lit(parts))
-    pairs = posts.join(mixed, ["token", "band"], "left_semi").groupBy(lot.alias("lot")).applyInArrow(lambda t: _candidates(t, percent), "a long, b long").distinct()
+    met = posts.join(mixed, ["token", "band"], "left_semi").join(durable(_signed(known), "signed"), "rep")
+    pairs = met.groupBy(lot.alias("lot")).applyInArrow(lambda t: _candidates(t, percent), "a long, b long").distinct()
     pairs = durable(pairs, "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
