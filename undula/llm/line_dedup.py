@@ -2,12 +2,13 @@
 
 A line is the set of its lower-cased words; of two lines whose sets have a Jaccard similarity of at least ``percent`` %, the
 later one (by doc_id, then line number) is removed. Words become numbers that sort rare words first, a line keeps the prefix
-in which any similar line must share a word, and lines that share such a word become candidates if their lengths and the
-word's positions still allow the similarity. Candidates are compared as sets of words.
+in which any similar line must share words, and lines that share as many become candidates if their lengths and hashed bits
+still allow the similarity. Candidates are compared as sets of words.
 
 Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
 Where a prefix word has more than MANY lines, as in families of near copies, each line is first compared with the earliest
-one, which settles the family at linear cost; only lines that are still there are compared with all earlier ones.
+one, which settles the family at linear cost; only lines that are still there are compared with all earlier ones, and only
+with those that share enough words of the prefix.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 from .common import durable, join_counted
 
 #: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds); lines
-#: of a prefix word that are compared with each other at once.
-PERCENT, COUNT_BITS, MANY = 80, 16, 50
+#: of a prefix word from which on its earliest one goes first.
+PERCENT, COUNT_BITS, MANY = 80, 16, 200
+#: Words that the prefixes of two similar lines have in common at least, by the size of the smaller one: prefixes are so much
+#: longer than one common word would need, and pairs with fewer are dropped unseen.
+_COMMON = "(1 + {} DIV 16)"
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -52,7 +56,7 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     code = f"transform(h, x -> {levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] | shiftrightunsigned(x, 8))"
     rows = rows.withColumn("bits", F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"))
     rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes"))
-    prefix = F.expr(f"transform(slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1), x -> hash(x))")
+    prefix = F.expr(f"transform(slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + {_COMMON.format('n')}), x -> hash(x))")
     return rows.select("doc", "line", "n", "mark", "bits", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
@@ -69,13 +73,12 @@ def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * same >= percent * (F.size("words") + F.size("words_0") - same)).select("doc", "line", "mark").distinct()
 
 
-def _similar(docs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """Later lines of the candidate pairs that are similar; candidates repeat a pair for each word that led to it.
+def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Later lines of the durable pairs (doc, line, doc_0, line_0, shared) that are similar.
 
     One similar earlier line is enough, so each line is first compared with the one that it shares most words with, and only
     if that fails with the others: a family of n copies costs n comparisons.
     """
-    pairs = durable(candidates.groupBy("doc", "line", "doc_0", "line_0").agg(F.count("*").alias("shared")), "pairs")
     top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
     top = durable(top, "top")
     first = durable(_compared(docs, top, percent), "removed")
@@ -91,26 +94,28 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("mark").alias("mark_0")), "again")
     copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != doc_0 OR line != line_0 OR mark != mark_0").select("doc", "mark")
 
-    posts = sets.select("doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "code"))
+    posts = sets.select("doc", "line", "n", "bits", F.explode("prefix").alias("code"))
     many = durable(posts.groupBy("code").count().filter(f"count > {MANY}").select("code"), "many")
     before = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     # a bit that one line has and the other lacks is a word that the other lacks
     most = "least(b.n - bit_count(b.bits & ~a.bits), a.n - bit_count(a.bits & ~b.bits))"
     size = f"{before} AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * {most} >= {percent} * (a.n + b.n)"
-    place = f"{100 + percent} * (1 + least(a.n - a.at, b.n - b.at) - 1) >= {percent} * (a.n + b.n)"
-    pair = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0")]
+    found = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", "least(a.n, b.n) AS least_n")]
+    counted = lambda rows: rows.select(*found).groupBy("doc", "line", "doc_0", "line_0", "least_n").agg(F.count("*").alias("shared"))
 
-    few = join_counted(posts, many, ["code"], "left_anti")
-    gone = durable(_similar(docs, few.alias("a").join(few.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair), percent), "removed")
-
-    # words of many lines: each line against the earliest, then what is left against all
-    crowd = durable(join_counted(posts, many, ["code"], "left_semi"), "crowd")
+    # words of many lines: each line against the earliest, which settles families
+    crowd = join_counted(posts, many, ["code"], "left_semi")
     earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits")).alias("e")).select("code", "e.*")
-    settled = durable(gone.select("doc", "line").distinct(), "settled")
-    crowd = durable(join_counted(crowd, settled.withColumn("done", F.lit(True)), ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done"), "crowd")
-    gone = durable(gone.unionByName(_similar(docs, earliest.alias("a").join(crowd.filter("open").alias("b"), F.expr(f"a.code = b.code AND {size}")).select(*pair), percent)).distinct(), "removed")
-    left = join_counted(crowd.filter("open"), durable(gone.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
-    last = _similar(docs, crowd.alias("a").join(left.alias("b"), F.expr(f"a.code = b.code AND {size} AND {place}")).select(*pair), percent)
+    pairs = durable(counted(earliest.alias("a").join(crowd.alias("b"), F.expr(f"a.code = b.code AND {size}"))), "pairs")
+    top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
+    gone = durable(_compared(docs, durable(top, "top"), percent), "removed")
+
+    # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
+    settled = durable(gone.select("doc", "line").distinct().withColumn("done", F.lit(True)), "settled")
+    posts = join_counted(posts, settled, ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
+    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.open OR a.n < 0) AND {size}"))
+    pairs = durable(counted(pairs).filter(f"shared >= {_COMMON.format('least_n')}").drop("least_n"), "pairs")
+    last = _similar(docs, pairs, percent)
     return copies.unionByName(gone.select("doc", "mark")).unionByName(last.select("doc", "mark"))
 
 
