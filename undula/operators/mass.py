@@ -33,7 +33,7 @@ def mass_pre(data: DataFrame, window: int, query: DataFrame | None = None, type:
             rows = movmean_std(series, window).select("series_id", "pos", "avg", "sd")
             if type != "normalized" and name == "data":
                 over = Window.partitionBy("series_id", "block").orderBy("pos").rowsBetween(0, window - 1)
-                window_ = haloed(check(series), window - 1).select("series_id", "pos", "block", F.collect_list(F.col("value").cast("double")).over(over).alias("x")).filter(own())
+                window_ = haloed(check(series), window - 1).select("series_id", "pos", "block", F.collect_list(F.col("value").cast("double")).over(over).alias("x")).filter(own()).drop("block")
                 weigh = F.array(*(F.lit(float(w)) for w in weights))
                 pre = F.expr("aggregate(zip_with(x, weigh, (a, b) -> b * power(try_divide(a - avg, sd), 2)), 0D, (s, v) -> s + v)")
                 rows = rows.join(window_, ["series_id", "pos"]).withColumn("weigh", weigh).withColumn("pre", pre).drop("x", "weigh")
