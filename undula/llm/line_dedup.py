@@ -48,16 +48,17 @@ def _rarity(docs: DataFrame) -> str:
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, line, n, mark (hash of number and text), bits (64 of them, hashed from the words), set_a and set_b (hashes of the
-    set) and prefix (hashed to 32 bits, which can only add candidates) of all lines with words."""
+    """doc, line, n, mark (hash of number and text), bits and more (128 bits, hashed from the words), set_a and set_b (hashes of
+    the set) and prefix (hashed to 32 bits, which can only add candidates) of all lines with words."""
     levels = _rarity(docs)
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     rows = rows.withColumn("mark", F.xxhash64("line", "t")).withColumn("h", F.expr(f"array_remove(array_distinct(transform({words_of('t')}, w -> xxhash64(w))), xxhash64(''))"))
     code = f"transform(h, x -> {levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] | shiftrightunsigned(x, 8))"
-    rows = rows.withColumn("bits", F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))"))
+    for name, half in (("bits", 0), ("more", 64)):
+        rows = rows.withColumn(name, F.expr(f"aggregate(h, 0L, (a, x) -> IF(x & 64 = {half}, a | shiftleft(1L, CAST(x & 63 AS INT)), a))"))
     rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes"))
     prefix = F.expr(f"transform(slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + {_COMMON.format('n')}), x -> hash(x))")
-    return rows.select("doc", "line", "n", "mark", "bits", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
+    return rows.select("doc", "line", "n", "mark", "bits", "more", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -89,23 +90,23 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc and marks of all lines to remove; ``docs`` has doc_id (long, nulls last) and text (not null)."""
     lines = durable(_lines(docs, percent), "lines")
-    sets = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("e"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = durable(sets.select("set_a", "set_b", "n", "copies", "bits", "prefix", "e.*"), "sets")
+    sets = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("e"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
+    sets = durable(sets.select("set_a", "set_b", "n", "copies", "bits", "more", "prefix", "e.*"), "sets")
     again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("mark").alias("mark_0")), "again")
     copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != doc_0 OR line != line_0 OR mark != mark_0").select("doc", "mark")
 
-    posts = sets.select("doc", "line", "n", "bits", F.explode("prefix").alias("code"))
+    posts = sets.select("doc", "line", "n", "bits", "more", F.explode("prefix").alias("code"))
     many = durable(posts.groupBy("code").count().filter(f"count > {MANY}").select("code"), "many")
     before = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     # a bit that one line has and the other lacks is a word that the other lacks
-    most = "least(b.n - bit_count(b.bits & ~a.bits), a.n - bit_count(a.bits & ~b.bits))"
+    most = "least(b.n - bit_count(b.bits & ~a.bits) - bit_count(b.more & ~a.more), a.n - bit_count(a.bits & ~b.bits) - bit_count(a.more & ~b.more))"
     size = f"{before} AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * {most} >= {percent} * (a.n + b.n)"
     found = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", "least(a.n, b.n) AS least_n")]
     counted = lambda rows: rows.select(*found).groupBy("doc", "line", "doc_0", "line_0", "least_n").agg(F.count("*").alias("shared"))
 
     # words of many lines: each line against the earliest, which settles families
     crowd = join_counted(posts, many, ["code"], "left_semi")
-    earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits")).alias("e")).select("code", "e.*")
+    earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits", "more")).alias("e")).select("code", "e.*")
     pairs = durable(counted(earliest.alias("a").join(crowd.alias("b"), F.expr(f"a.code = b.code AND {size}"))), "pairs")
     top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
     gone = durable(_compared(docs, durable(top, "top"), percent), "removed")
