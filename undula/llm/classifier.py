@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import added, durable, text_or_empty
-from .textkit import SPACE, buffers, mix, slices, word_hashes
+from .textkit import SPACE, buffers, mix, release, slices, word_hashes
 
 #: Hashed n-grams; labelled rows used at most (those with the smallest hashed ids); pseudo-count of a bucket; length, in
 #: n-grams, from which the ratio is taken per n-gram; scale of the noise against the ratio.
@@ -49,6 +49,7 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     for a, b in slices(off):
         part = data[off[a] : off[b]]
         yield (a, b, *(ngrams(part, off[a : b + 1] - off[a]) if len(part) else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
+    release()
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.ndarray:

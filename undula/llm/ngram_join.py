@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import buckets_for, durable
 from .components import components
-from .textkit import binary, buffers, hashed, shingles, slices
+from .textkit import binary, buffers, hashed, release, shingles, slices
 
 #: Words of a shingle and least similarity in per cent; text bytes hashed at a time; sets of a part at most; a shingle of
 #: more than one in FREQUENT classes counts as frequent (so there are at most FREQUENT times the mean set size of them); rounds
 #: that join up families.
-WORDS, PERCENT, SLICE, PART, FREQUENT, ROUNDS = 5, 80, 4 << 20, 2000, 2000, 4
+WORDS, PERCENT, SLICE, PART, FREQUENT, ROUNDS = 5, 80, 2 << 20, 2000, 2000, 4
 _BLOOM = 1 << 23
 _SIGNATURE = 2048
 
@@ -46,6 +46,7 @@ def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for a, b in slices(off, SLICE):
         words, first = hashed(texts.slice(a, b - a))
         yield (a, b, *shingles(words, first, WORDS))
+    release()
 
 
 def _print(s: np.ndarray) -> bytes:
@@ -320,7 +321,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stats = durable(shingle_stats(docs), "stats")
     classes = durable(stats.filter("n_shingles > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).filter("rep IS NOT NULL"), "classes")
     totals = classes.agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).first()
-    parts = min(1 << 20, buckets_for(spark, totals["shingles"] or 0, 4_000_000))
+    parts = min(1 << 20, buckets_for(spark, totals["shingles"] or 0, 2_000_000))
     frequent = max(64, totals["n"] // FREQUENT)
     counts, tokens = _shared(docs, parts, max(16, totals["n"] // 500_000), frequent)
     short = F.expr("CAST(conv(concat(substr(hex(print), 7, 2), substr(hex(print), 5, 2), substr(hex(print), 3, 2), substr(hex(print), 1, 2)), 16, 10) AS LONG) & 2147483647")

@@ -7,6 +7,7 @@ among the billion.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,3 +133,12 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarr
 
 def binary(parts: list) -> pa.Array:
     return pa.array([p.tobytes() if isinstance(p, np.ndarray) else p for p in parts], pa.binary())
+
+
+def release() -> None:
+    """Give unused memory of this worker back, as workers live on and wait beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
