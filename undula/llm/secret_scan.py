@@ -21,8 +21,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMED = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
-#: Weak parts.
-BARE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", re.ASCII)
+#: Weak parts. An equals sign before a secret ends its name (KEY=VALUE), after it it is padding.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3)://[^\s\"'<>]{4,}", re.ASCII)
 KINDS = ("assign", "access", "hex", "bare", "endpoint")
 #: Code points between two parts of one credential, at most.
