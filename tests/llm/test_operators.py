@@ -325,6 +325,24 @@ def test_secret_scan_links_key_value_lines():
         assert secret_scan.scan(text[:39] + longer)[1] == []
 
 
+def test_secret_scan_links_by_distance_between_spans():
+    long_, url = "token: " + "aB3." * 150, "https://host.example/path"
+    for text in (f"{long_}\n{url}", f"{url}\n{long_}"):
+        assert [text[s:e] for s, e, _ in secret_scan.scan(text)[1]] == [url]
+    bare = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    signed = url + "?q=" + "z." * 300
+    assert [k for *_, k in secret_scan.scan(f"{signed}\n{bare}")[1]] == ["endpoint", "bare"]
+    for gap in (f"\n{'- ' * 200}\n", "\n\n", "\n \t\n"):  # too far, or another paragraph
+        assert secret_scan.scan(long_ + gap + url)[1] == [] and secret_scan.scan(signed + gap + bare)[1] == []
+
+
+def test_secret_scan_links_short_values_to_endpoints():
+    text = "connect to postgres://db.example/main\npassword = abc1"
+    base, weak = secret_scan.scan(text)
+    assert base == [] and [(text[s:e], k) for s, e, k in weak] == [("postgres://db.example/main", "endpoint"), ("password = abc1", "short")]
+    assert secret_scan.scan("password = abc1")[1] == [] and secret_scan.scan(text.replace("\n", "\n\n"))[1] == []
+
+
 def test_language_id(spark, docs, none, rows):
     model = langid.fit(docs)
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}

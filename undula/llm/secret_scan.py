@@ -3,14 +3,15 @@
 Base findings stand on their own: assignments of secrets, access identifiers and long hexadecimal runs. Weak candidates
 (a bare 40-character secret, a service endpoint, a short value beside a credential's name) say little alone; they are
 reported only when an interval join finds complementary parts in one scope: an access identifier with a bare secret, or an
-endpoint with an identifier or a secret.
+endpoint with an identifier or a secret, be it a short one.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,9 @@ _NAMED = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 #: Weak parts. An equals sign before a secret ends its name (KEY=VALUE), after it it is padding.
 BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|redis|mongodb|amqp|s3)://[^\s\"'<>]{4,}", re.ASCII)
-KINDS = ("assign", "access", "hex", "bare", "endpoint")
+KINDS = ("assign", "access", "hex", "bare", "endpoint", "short")
+#: An assigned value of fewer characters is a weak part.
+LEAST = 6
 #: Code points between two parts of one credential, at most.
 SCOPE = 400
 
@@ -34,7 +37,7 @@ Span = tuple[int, int, str]
 def base_spans(text: str) -> list[Span]:
     out = []
     if _NAMED.search(text):
-        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        out += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST]
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     # a run of 24 or more is what is left of the maximal runs once shorter ones are dropped
@@ -44,29 +47,37 @@ def base_spans(text: str) -> list[Span]:
 
 def weak_spans(text: str) -> list[Span]:
     out = [(m.start(), m.end(), "bare") for m in BARE.finditer(text)]
-    return out + [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else out
+    if "://" in text:
+        out += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        if _NAMED.search(text):  # only an endpoint links short values
+            out += [(m.start(), m.end(), "short") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) < LEAST]
+    return out
 
 
 def link(text: str, base: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
     """The weak spans that have a complementary part in their scope: at most ``scope`` code points away, in one paragraph.
 
-    Both sides are sorted by start and joined as intervals, so a text with n parts costs O(n log n) and no pair is listed.
+    Both sides are sorted by start and joined as intervals: of the parts that start before the scope's end, the furthest end
+    has to reach its beginning. So a text with n parts costs O(n log n) and no pair is listed.
     """
     if not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
-    sides = {k: sorted((s, e) for s, e, kind in base + weak if kind in kinds) for k, kinds in (("bare", ("access", "endpoint")), ("endpoint", ("access", "assign", "bare", "hex")))}
+    beside = {"bare": ("access", "endpoint"), "endpoint": ("access", "assign", "bare", "hex", "short"), "short": ("endpoint",)}
+    sides = {k: sorted((s, e) for s, e, kind in base + weak if kind in kinds) for k, kinds in beside.items()}
     starts = {k: [s for s, _ in v] for k, v in sides.items()}
+    furthest = {k: list(accumulate((e for _, e in v), max)) for k, v in sides.items()}
     taken = [(s, e) for s, e, _ in base]
     out = []
     for s, e, kind in weak:
         if any(a < e and s < b for a, b in taken):  # a base span already covers it
             continue
         at = bisect_right(breaks, s)
-        low, high = (breaks[at - 1] if at else 0), (breaks[at] if at < len(breaks) else len(text))
+        # parts hold no line break, so one that ends after a paragraph's first place lies in it
+        low, high = (breaks[at - 1] if at else 0) + 1, (breaks[at] if at < len(breaks) else len(text))
         low, high = max(low, s - scope), min(high, e + scope)
-        i, j = bisect_left(starts[kind], low), bisect_right(starts[kind], high)
-        if i < j:
+        i = bisect_right(starts[kind], high)
+        if i and furthest[kind][i - 1] >= low:
             out.append((s, e, kind))
     return out
 
