@@ -53,6 +53,10 @@ def _print(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _short(prints: np.ndarray) -> np.ndarray:
+    return (prints & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+
+
 def shingle_stats(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and print (a digest of the set, empty for an empty set)."""
 
@@ -68,15 +72,17 @@ def shingle_stats(docs: DataFrame) -> DataFrame:
 def _shared(docs: DataFrame, parts: int, lots: int, frequent: int) -> tuple[DataFrame, np.ndarray]:
     """short, with_others: how many shingles the classes with this short print share with others; and frequent shingles.
 
-    Shingles are folded to a bucket and 32 bits, which can only make more of them shared. A shingle that many texts of a
-    slice hold is sent once with its count.
+    Classes are told apart by 64 bits of their prints; counts are added up under 31 of these. Shingles are folded to a bucket
+    and 32 bits. Both foldings can only make more of them shared. A shingle that many texts of a slice hold is sent once
+    with its count.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, z, s, at in _sets(b.column(1)):
-                short = np.array([int.from_bytes(_print(s[at[i] : at[i + 1]])[:4], "little") for i in range(z - a)], np.uint32) & np.uint32(0x7FFFFFFF)
-                _, one = np.unique(short, return_index=True)  # one of each class in the slice
+                print_ = np.array([int.from_bytes(_print(s[at[i] : at[i + 1]])[:8], "little") for i in range(z - a)], np.uint64)
+                short = _short(print_)
+                _, one = np.unique(print_, return_index=True)  # one of each class in the slice
                 keep = np.zeros(z - a, bool)
                 keep[one] = True
                 doc = np.repeat(np.arange(z - a), np.diff(at))
@@ -102,7 +108,7 @@ def _shared(docs: DataFrame, parts: int, lots: int, frequent: int) -> tuple[Data
                 to, low, of = to[order], (s[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[order]
                 heavy_to = ((heavy >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
                 cut = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (of[1:] != of[:-1]))))
-                run_to, run_of, run_n = to[cut], short[of[cut]], np.diff(np.append(cut, len(to))).astype(np.uint32)
+                run_to, run_of, run_n = to[cut], print_[of[cut]], np.diff(np.append(cut, len(to))).astype(np.uint32)
                 got = np.flatnonzero(local)
                 rows = {k: [] for k in ("bucket", "tokens", "prints", "runs", "heavy", "heavy_n", "own", "own_n")}
                 some = np.union1d(np.unique(run_to), np.unique(heavy_to)) if len(run_to) or len(heavy_to) else []
@@ -116,16 +122,18 @@ def _shared(docs: DataFrame, parts: int, lots: int, frequent: int) -> tuple[Data
                 yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(binary(rows[k]) for k in list(rows)[1:])], list(rows))
 
     def count(t: pa.Table) -> pa.Table:
-        get = lambda k: np.frombuffer(b"".join(t[k].to_pylist()), np.uint32)
-        key = np.unique(get("tokens").astype(np.uint64) << np.uint64(32) | np.repeat(get("prints"), get("runs")))
-        token, short = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        get = lambda k, of=np.uint32: np.frombuffer(b"".join(t[k].to_pylist()), of)
+        prints, which = np.unique(get("prints", np.uint64), return_inverse=True)
+        key = np.unique(get("tokens").astype(np.uint64) << np.uint64(32) | np.repeat(which.astype(np.uint32), get("runs")))
+        token, class_ = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(new, len(token)))
         heavy, back = np.unique(get("heavy"), return_inverse=True)
         heavy_n = np.bincount(back, get("heavy_n"), minlength=len(heavy)).astype(np.int64)
         both = np.isin(token[new], heavy)
         multi = np.repeat((size > 1) | both, size)
-        ids, n = np.unique(short[multi], return_counts=True)
+        own, n = np.unique(class_[multi], return_counts=True)
+        ids = _short(prints[own])
         df = np.bincount(np.searchsorted(heavy, token[new][both]), size[both], minlength=len(heavy)).astype(np.int64) + heavy_n if len(heavy) else heavy_n
         tokens, df = np.concatenate((token[new][~both], heavy)), np.concatenate((size[~both], df))
         tokens, df = tokens[df > frequent], df[df > frequent].astype(np.int64)
