@@ -283,6 +283,40 @@ def test_pfair_is_less_than_a_block_off():
     assert sorted(slots) == list(range(582))
 
 
+def slots_of(blocks, weights):
+    plan, out = mixing.phases(blocks, weights), {}
+    for s, n in blocks.items():
+        own = [p for p in plan if s in p["before"]]
+        before, k = np.array([p["before"][s] for p in own]), np.arange(n)
+        out[s] = np.zeros(n, np.int64)
+        at = np.searchsorted(before, k, "right") - 1
+        for i in np.unique(at):
+            turn, nth = np.divmod(k[at == i] - before[i], len(own[i]["table"][s]))
+            out[s][at == i] = own[i]["slot"] + turn * own[i]["period"] + own[i]["table"][s][nth]
+    return plan, out
+
+
+def test_pfair_holds_for_the_weights_as_given():
+    hot = {"hot": 1 / 3} | {f"s{k:02}": 2 / 57 for k in range(19)}
+    geometric = {f"s{k:02}": 0.5**k for k in range(20)}
+    for weights in (hot, geometric):
+        total = sum(weights.values())
+        blocks = {s: max(1, math.ceil(20_000 * w / total)) for s, w in weights.items()}
+        plan, slots = slots_of(blocks, mixing.exact_weights(weights))
+        assert sorted(np.concatenate(list(slots.values()))) == list(range(sum(blocks.values())))
+        end = plan[1]["slot"] if len(plan) > 1 else sum(blocks.values())
+        assert end > 2 * 2048
+        for s, w in weights.items():
+            assert (np.abs(np.searchsorted(slots[s], np.arange(end + 1)) - np.arange(end + 1) * w / total) < 1 + 1e-9).all()
+
+
+def test_mixing_plans_sources_without_weight_last():
+    plan, slots = slots_of({"a": 30, "b": 10, "z": 5, "y": 5}, mixing.exact_weights({"a": 0.3, "b": 0.1, "z": 0, "y": 0.0}))
+    assert sorted(np.concatenate(list(slots.values()))) == list(range(50)) and min(slots["z"][0], slots["y"][0]) == 40
+    with pytest.raises(ValueError):
+        mixing.exact_weights({"a": -1.0, "b": 2.0})
+
+
 def test_classifier(spark, docs, none, labels):
     got = classifier.resample(docs, labels, k=20).toPandas()
     assert got.kept.sum() in (20, 21, 22)  # the repeated row shares a score
