@@ -403,6 +403,24 @@ def test_language_id(spark, docs, none, rows):
     assert [r["lang_pred"] == "und" for r in langid.identify(signs, model).orderBy("doc_id").collect()] == [True, False, False]
 
 
+def test_language_id_of_any_length_needs_a_letter(spark, docs):
+    model = langid.fit(docs)
+    none = ["\U0001f600" * n for n in (9, 10, 45)] + ["、。！" * 20, "٠١٢٣٤٥٦٧٨٩" * 3, "“…” — € " * 20, "\U0001f600 12 " * 40]
+    some = ["ⵣ", "ⴰⵣⵓⵍ ⴼⵍⵍⴰⵡⵏ", "ⲁⲃⲅ", "ⰀⰁⰂ", "µ", "\U0001f600" * 45 + "中", "\U0001f600" * 45 + " a", "٠" * 30 + "م"]
+    table = spark.createDataFrame(list(enumerate(none + some)), "doc_id long, text string").coalesce(1)
+    got = langid.identify(table, model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [True] * len(none) + [False] * len(some)
+    assert all((r["score"] > 0) == bool(r["spans"]) == (r["lang_pred"] != "und") for r in got)
+
+
+def test_language_id_learns_tifinagh(spark, docs):
+    rng = random.Random(3)
+    more = spark.createDataFrame([(sentence(rng, 30, ["ⴰⵣⵓⵍ", "ⵜⴰⵎⴰⵣⵉⵖⵜ", "ⴰⵎⴰⵏ", "ⵉⴳⵏⵏⴰ"]), "zgh") for _ in range(20)], "text string, lang string")
+    model = langid.fit(docs.select("text", "lang").unionByName(more))
+    got = langid.identify(spark.createDataFrame([(1, "ⴰⵎⴰⵏ ⵉⴳⵏⵏⴰ")], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == "zgh" and got["score"] == 1
+
+
 def test_shortcut_agrees_with_viterbi(docs, rows, monkeypatch):
     model = langid.fit(docs)
     import pyarrow as pa

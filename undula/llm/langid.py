@@ -10,6 +10,7 @@ that is decided for many texts at once, and the others go through Viterbi.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ for _name, _a, _b in _RANGES:
     _SCRIPT[_a : _b + 1] = SCRIPTS.index(_name)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Characters led by C2 (U+0080 on) and E2 (U+2000 on) that are letters, or marks within the alphabets from U+2C00 on.
+_LETTER_C2 = np.array([chr(c).isalpha() for c in range(0x80, 0xC0)])
+_LETTER_E2 = np.array([chr(c).isalpha() or c >= 0x2C00 and unicodedata.category(chr(c))[0] == "M" for c in range(0x2000, 0x3000)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -37,7 +41,9 @@ _LOWER[65:91] += 32
 def words(data: np.ndarray, off: np.ndarray):
     """Trigram bucket of each byte of a word (-1 elsewhere); starts and ends of words; the text of each; its script."""
     letter = _LETTER[data]
-    mark = np.flatnonzero((data == 0xE2) | (data == 0xC2))  # punctuation and signs beyond ASCII
+    mark = np.flatnonzero((data == 0xE2) | (data == 0xC2))  # most are punctuation and signs
+    one, two = (data[np.minimum(mark + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2))
+    mark = mark[~np.where(data[mark] == 0xE2, _LETTER_E2[one << 6 | two], _LETTER_C2[one])]
     for k in (0, 1, 2):
         at = mark + k
         at = at[(at < len(data))]
@@ -173,8 +179,9 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 first = np.searchsorted(text, text[new])
                 for i, n, f in zip(new, np.diff(np.append(new, len(text))), first):
                     spans[s + text[i]].append({"first": int(i - f), "words": int(n), "lang": langs[lang[i]]})
+                head = part[start[np.searchsorted(text, np.arange(e - s)).clip(max=len(start) - 1)]]
                 for i in np.flatnonzero(all_):
-                    if not any(c.isalpha() for c in (b.column(at_text)[s + int(i)].as_py() if all_[i] < 40 else "a")):
+                    if head[i] >= 0x80 and not any(c.isalpha() for c in part[off[s + i] - off[s] : off[s + i + 1] - off[s]].tobytes().decode("utf-8", "ignore")):
                         spans[s + i] = []  # signs beyond ASCII that are no letters
                         continue
                     pred[s + i], score[s + i] = langs[best[i]], weight[i, best[i]] / all_[i]
