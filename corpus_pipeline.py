@@ -43,8 +43,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences."""
-    return pack(docs, tokenizer_path())
+    """Pieces of all documents with their place in sequences, which follow the order of the files and their rows."""
+    ordered = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    return pack(ordered, tokenizer_path(), order=("__file", "__row"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixing", mixture), ("packing", packing)]

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from undula.llm import queries
+from undula.llm import mixing, packing, queries
 from undula.llm.classifier import resample
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -105,6 +105,27 @@ def test_stages_return_the_columns_of_documents(spark):
     assert sorted(kept["mixing"].doc_id) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
 
 
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', CAST(100 + 90 * (id % 7) AS INT)) AS text", "'en' AS lang", "CASE WHEN id < 2400 THEN 'hot' WHEN id < 2700 THEN 'b' ELSE 'c' END AS source", "1L AS n_chars")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    corpus_pipeline.mixture(spark, docs, FOLDER).write.parquet(f"{tmp_path}/mixed")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(mixed.inputFiles()) > 1
+    got = corpus_pipeline.packing(spark, mixed, FOLDER).toPandas()
+    plain = packing.pack(mixed, queries.tokenizer_path()).toPandas()
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(got[key].values.tolist()) == sorted(plain[key].values.tolist()) and got.sequence_id.nunique() == plain.sequence_id.nunique()
+    for _, bin_ in got.sort_values("offset").groupby("sequence_id"):
+        assert (bin_.offset.to_numpy() == np.concatenate(([0], np.cumsum(bin_.length)[:-1]))).all() and bin_.length.sum() <= 2048
+    got = got.merge(mixing.mix(docs).select("doc_id", "source", "position").toPandas(), on="doc_id")
+    assert got.sequence_id.corr(got.position, method="pearson") > 0.98
+    share = {"hot": 2400**0.7, "b": 300**0.7, "c": 300**0.7}
+    start = got[got.sequence_id < got.sequence_id.max() * 0.3]  # before a source ends
+    for s, w in share.items():
+        assert abs(start.length[start.source == s].sum() / start.length.sum() - w / sum(share.values())) < 0.05
+
+
 def test_entry_without_this_subpackage(tmp_path):
     import shutil
     import subprocess

@@ -5,6 +5,9 @@ whatever the corpus. The plan is made on it: for the longest length left, a bits
 finds the fullest combination that still fits; the combination is removed as often as all its lengths last. Each removal
 uses up at least one length, so the plan has at most ``capacity`` patterns. Pieces then find their place by their rank
 among the pieces of their length: no step sees the pieces together.
+
+Where an order is given, the bins of all patterns are spread evenly over it and numbered in that order, and pieces of a length
+fill their places by their rank in the order. So the sequences run through the order as the pieces of each length do.
 """
 
 from __future__ import annotations
@@ -90,11 +93,11 @@ def _texts(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[by
         yield at, some
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """Tokenise and cut: doc_id, piece, start, length, ids_crc32, one row per piece of at most ``capacity`` tokens.
 
     A document is its ids and then id 0; only a longer one is cut, and only its last piece may be shorter than the
-    capacity. Null text counts as empty (one token, the 0).
+    capacity. Null text counts as empty (one token, the 0). Columns of ``order`` are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +114,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
                 piece = np.array(piece, np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(b.column(k).take(row) for k in range(2, b.num_columns))], ["doc_id", "piece", "start", "length", "ids_crc32", *order])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *order)
+    more = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in order)
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + more)
 
 
 def fullest(left: dict[int, int], room: int) -> list[int]:
@@ -171,14 +176,18 @@ def slots(planned: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "bin", "each", "offset"), a.T.copy()))
 
 
-def ranked(rows: DataFrame, key: str, deal: list[str], order: list[str], per_bucket: int = 50_000) -> DataFrame:
+def ranked(rows: DataFrame, key: str, deal: list[str], order: list[str], per_bucket: int = 50_000, bucket: str | None = None) -> DataFrame:
     """``rows`` with ``__rank``, numbers from 0 within each value of ``key``.
 
     A key is dealt over buckets by a hash of ``deal``, and ranks start at the sum of the buckets before, so a key that holds
-    most rows is numbered by many tasks. ``rows`` is read twice and has to come from a stable source.
+    most rows is numbered by many tasks. With ``bucket``, a column that ``order`` begins with, its values are the buckets, and
+    ranks follow ``order`` throughout. ``rows`` is read twice and has to come from a stable source.
     """
-    n = min(1 << 14, max(16, -(-rows.count() // per_bucket)))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*deal), F.lit(n)).cast("int"))
+    if bucket:
+        rows = rows.withColumn("__bucket", F.col(bucket))
+    else:
+        n = min(1 << 14, max(16, -(-rows.count() // per_bucket)))
+        rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(*deal), F.lit(n)).cast("int"))
     before = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(key, "__bucket").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(F.col(key).alias("__key"), F.col("__bucket").alias("__of"), "__first")
     within = Window.partitionBy(key, "__bucket").orderBy(*order)
@@ -187,10 +196,43 @@ def ranked(rows: DataFrame, key: str, deal: list[str], order: list[str], per_buc
     return joined.withColumn("__rank", F.col("__place") + F.col("__first")).drop("__key", "__of", "__bucket", "__place", "__first")
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def spread(planned: list[tuple[list[int], int]], bins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """length, rank, sequence_id and offset of each place in the ``bins`` (numbers in the order of the plan, ascending).
+
+    Bin k of a pattern of n bins stands at (k + 1/2) / n of the order, patterns in turn where that is equal. sequence_id counts
+    the bins before it, rank the places for the same length in these.
+    """
+    times = np.array([n for _, n in planned], np.int64)
+    first = np.cumsum(times) - times
+    column = {length: i for i, length in enumerate(sorted({x for lengths, _ in planned for x in lengths}))}
+    each = np.zeros((len(planned), len(column)))
+    for q, (lengths, _) in enumerate(planned):
+        for length, n in Counter(lengths).items():
+            each[q, column[length]] = n
+    out, of = [], np.searchsorted(first, bins, "right") - 1
+    for a in range(0, len(bins), 1024):
+        p = of[a : a + 1024]
+        ahead = (2 * (bins[a : a + 1024] - first[p]) + 1)[:, None] * times - times[p][:, None]
+        full = 2 * times[p][:, None]
+        before = np.where(np.arange(len(times)) < p[:, None], ahead // full + 1, -(-ahead // full))  # each pattern's bins before
+        number = before.sum(1)
+        for q in np.unique(p):
+            some, offset = np.flatnonzero(p == q), 0
+            for length, n in Counter(planned[q][0]).items():
+                rank = (before[some] @ each[:, column[length]]).astype(np.int64)
+                nth = np.arange(n)
+                out.append((np.full(len(some) * n, length), (rank[:, None] + nth).ravel(), np.repeat(number[some], n), np.tile(offset + nth * length, len(some))))
+                offset += n * length
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+
+
+def place(cut: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """``cut`` (durable rows of ``pieces``) with sequence_id and offset. An empty table gives an empty result."""
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    at = slots(plan(histogram, capacity))
+    planned = plan(histogram, capacity)
+    if order:
+        return _place_in_order(cut, planned, order)
+    at = slots(planned)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +247,26 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked(cut, "length", ["doc_id", "piece"], ["doc_id", "piece", "ids_crc32"]).select(*names, "__rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def _place_in_order(cut: DataFrame, planned: list[tuple[list[int], int]], order: tuple[str, ...]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in spread(planned, b.column(0).to_numpy())], ["length", "__rank", "sequence_id", "offset"])
+
+    total = sum(n for _, n in planned)
+    places = cut.sparkSession.range(0, total, 1, max(1, -(-total // 20_000))).mapInArrow(run, "length long, __rank long, sequence_id long, offset long")
+    rows = ranked(cut, "length", [], [*order, "doc_id", "piece", "ids_crc32"], bucket=order[0])
+    return rows.join(places, ["length", "__rank"]).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, order: tuple[str, ...] = ()) -> DataFrame:
     """Pack all documents into as few sequences of at most ``capacity`` tokens as the plan finds.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; within a sequence the offsets follow
     one another without gaps from 0. Null and empty texts are pieces of one token; a null doc_id is kept; repeated rows are
     packed as often as they occur; columns other than doc_id and text are ignored; an empty table gives an empty result.
+    Sequence ids follow the columns of ``order``, if any; the first one deals the rows and should have many values.
     """
-    return place(durable(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return place(durable(pieces(docs, tokenizer, capacity, order), "pieces"), capacity, order)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
