@@ -47,3 +47,20 @@ def test_fading_stream(spark, tmp_path):
     series = spark.createDataFrame([("a", i + 1, float(x)) for i, x in enumerate(X)], "series_id string, pos long, value double")
     got = replay(series, f"file://{tmp_path}", 4, lambda stream: fading(stream, 9)).orderBy("pos").toPandas()
     assert np.allclose(got.mov_mean, mov_mean(series, 9, "fading").orderBy("pos").toPandas().mov_mean)
+
+
+def test_query_holds_the_longest_series(spark, monkeypatch):
+    from undula import queries, streaming
+
+    held = []
+
+    def profile(stream, window, history, **more):
+        held.append(history)
+        return stream.selectExpr("series_id", "pos", "0D AS right_matrix_profile", "1L AS right_profile_index", "0L AS batch")
+
+    monkeypatch.setattr(streaming, "right_profile", profile)
+    monkeypatch.setattr(streaming, "replay", lambda series, folder, n, plan: plan(series))
+    for n in (1_200_000, 0):
+        monkeypatch.setattr(queries, "events", lambda spark, folder: spark.range(n).selectExpr("'a' AS series_id", "id + 1 AS pos", "1L AS value"))
+        queries.stream_right_profile(spark, "")
+    assert held == [1_200_000, 2 * queries.LONG]

@@ -275,7 +275,8 @@ def stream_right_profile(spark: SparkSession, folder: str) -> DataFrame:
     from .streaming import replay, right_profile
 
     series = events(spark, folder)
-    rows = replay(series, _folder(spark), 4, lambda stream: right_profile(stream, LONG, history=1_000_000, exact=True))
+    longest = series.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0  # nothing is dropped, as in the SQL
+    rows = replay(series, _folder(spark), 4, lambda stream: right_profile(stream, LONG, history=max(longest, 2 * LONG), exact=True))
     last = rows.groupBy("series_id", "pos").agg(F.max_by(F.struct("right_matrix_profile", "right_profile_index"), "batch").alias("r"))
     return last.select("series_id", "pos", F.nanvl("r.right_matrix_profile", F.lit(None)).alias("right_matrix_profile"), "r.right_profile_index")
 
