@@ -72,7 +72,7 @@ def brute_lines(docs):
 
 
 def brute_near(docs):
-    from test_operators import brute_components
+    from test_llm_operators import brute_components
 
     found = brute_components(list(zip(docs.doc_id, docs.text)))
     return docs[[found[i][1] == i for i in docs.doc_id]]
