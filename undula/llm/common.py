@@ -68,13 +68,17 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: A joined side of at most so many rows is broadcast.
-SMALL_ROWS = 1_000_000
+#: A joined side of at most so many bytes, as measured, is broadcast.
+SMALL_BYTES = 32 << 20
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a durable right side, which is broadcast if its counted rows are few and shuffled otherwise."""
-    return left.join(F.broadcast(right) if right.count() <= SMALL_ROWS else right, on, how)
+    """Join with a durable right side of numbers and arrays of numbers, which is broadcast if its counted rows and array
+    elements make few bytes, and shuffled otherwise."""
+    arrays = [f.name for f in right.schema if isinstance(f.dataType, T.ArrayType)]
+    rows, *elements = right.agg(F.count("*"), *(F.coalesce(F.sum(F.size(a)), F.lit(0)) for a in arrays)).first()
+    size = rows * (16 + 8 * len(right.columns)) + 8 * sum(elements)
+    return left.join(F.broadcast(right) if size <= SMALL_BYTES else right, on, how)
 
 
 def added(df: DataFrame, **columns: str) -> T.StructType:

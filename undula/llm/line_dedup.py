@@ -1,29 +1,31 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its lower-cased words; of two lines whose sets have a Jaccard similarity of at least ``percent`` %, the
-later one (by doc_id, then line number) is removed. Words become numbers that sort rare words first, a line keeps the prefix
-in which any similar line must share words, and lines that share as many become candidates if their lengths and hashed bits
-still allow the similarity. Candidates are compared as sets of words.
+later one (by doc_id, then line number) is removed. Words become numbers that sort rare words first. A line posts the prefix
+in which any similar line must share an entry; lines that share one become candidates if their sizes and the parities of
+their hashed words still allow the similarity, and candidates are compared as sets of words.
+
+An entry of the prefix is a rare word, or two words that follow one another in the order. Let x miss at most e words of y, and y
+at most f of x. If x has more than e rare words, its first e + 1 words hold one that they share. Otherwise the two may share
+no rare word; then all r rare words of x are among those missed, and of the pairs of neighbours among its other words at most
+2 (e - r) + f are broken, two by a word missed and one by a word put in between. So the first 2 e + f - 2 r + 1 pairs hold
+a shared one. Rare words have short lists and pairs are rare, so what is compared does not grow with the square of the corpus.
 
 Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
-Where a prefix word has more than MANY lines, as in families of near copies, each line is first compared with the earliest
-one, which settles the family at linear cost; only lines that are still there are compared with all earlier ones, and only
-with those that share enough words of the prefix.
+Families of near copies are settled at linear cost: under a few keys of neighbouring words, each line is compared with the
+earliest line or the one before it, whichever looks nearer. Lines that are not removed by that are compared with all earlier ones
+that share an entry.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, join_counted
 
-#: Least similarity in per cent; bits of the table of word counts (as many slots as Spark's fast aggregation map holds); lines
-#: of a prefix word from which on its earliest one goes first.
-PERCENT, COUNT_BITS, MANY = 80, 16, 200
-#: Words that the prefixes of two similar lines have in common at least, by the size of the smaller one: prefixes are so much
-#: longer than one common word would need, and pairs with fewer are dropped unseen.
-_COMMON = "(1 + {} DIV 16)"
+#: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys that settle families.
+PERCENT, COUNT_BITS, RARE, KEYS = 80, 17, 1000, 2
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -32,107 +34,117 @@ def words_of(line: str) -> str:
     return f"IF({line} RLIKE '[\\\\x09\\\\x0B-\\\\x0D]', split(lower({line}), '{_BLANK}'), split(lower({line}), ' '))"
 
 
+def _level(count: str) -> str:
+    return f"CAST(2 * log2(1 + {count}) AS INT)"
+
+
 def _rarity(docs: DataFrame) -> str:
     """SQL for an array that has, for each hashed slot of words, a level that grows with the words counted in it.
 
-    The table is of fixed size and counts all words of all documents; it only orders, so words that share a slot cost speed,
-    not results.
+    The table is of fixed size and counts all words of all documents; it orders words and tells rare ones, so words that
+    share a slot cost speed, not results.
     """
-    slots = 1 << COUNT_BITS
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("t"))
-    words = lines.select(F.explode(F.expr(words_of("t"))).alias("w")).filter("w != ''")
+    words = docs.select(F.explode(F.expr(words_of("replace(text, '\\n', ' ')"))).alias("w")).filter("w != ''")
     counts = words.groupBy(F.expr(f"shiftrightunsigned(xxhash64(w), {64 - COUNT_BITS})").alias("slot")).count()
-    every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot")
-    levels = every.join(counts, "slot", "left").select("slot", F.expr("shiftleft(CAST(2 * log2(1 + coalesce(count, 0)) AS BIGINT), 56)").alias("level"))
-    return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<bigint>)"
+    every = docs.sparkSession.range(1 << COUNT_BITS).withColumnRenamed("id", "slot")
+    levels = every.join(counts, "slot", "left").select("slot", F.expr(_level("coalesce(count, 0)")).alias("level"))
+    return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<tinyint>)"
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, line, n, mark (hash of number and text), bits and more (128 bits, hashed from the words), set_a and set_b (hashes of
-    the set) and prefix (hashed to 32 bits, which can only add candidates) of all lines with words."""
+    """doc, mark, line, n, set_a and set_b (hashes of the set), even and more (parities of the words hashed to 96 bits), keys (that
+    settle families) and prefix of all lines with words. Entries are hashed to 32 bits, which can only add candidates."""
     levels = _rarity(docs)
-    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    rows = rows.withColumn("mark", F.xxhash64("line", "t")).withColumn("h", F.expr(f"array_remove(array_distinct(transform({words_of('t')}, w -> xxhash64(w))), xxhash64(''))"))
-    code = f"transform(h, x -> {levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] | shiftrightunsigned(x, 8))"
-    for name, half in (("bits", 0), ("more", 64)):
-        rows = rows.withColumn(name, F.expr(f"aggregate(h, 0L, (a, x) -> IF(x & 64 = {half}, a | shiftleft(1L, CAST(x & 63 AS INT)), a))"))
-    rows = rows.withColumn("codes", F.sort_array(F.expr(code))).withColumn("n", F.size("codes"))
-    prefix = F.expr(f"transform(slice(codes, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + {_COMMON.format('n')}), x -> hash(x))")
-    return rows.select("doc", "line", "n", "mark", "bits", "more", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), prefix.alias("prefix"))
+    rows = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    rows = rows.withColumn("h", F.expr(f"array_remove(array_distinct(transform({words_of('t')}, w -> xxhash64(w))), xxhash64(''))"))
+    code = f"transform(h, x -> coalesce(shiftleft(CAST({levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(x, 8))"
+    even = "aggregate(h, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1, CAST(x & 63 AS INT)))"
+    more = "aggregate(h, 0, (a, x) -> a ^ shiftleft(CAST(shiftright(~x, 6) & 1 AS INT), CAST(x & 31 AS INT)))"
+    rows = rows.select("doc", "mark", "line", F.expr(even).alias("even"), F.expr(more).alias("more"), F.sort_array(F.expr(code)).alias("codes"))
+    rows = rows.withColumn("n", F.size("codes")).withColumn("e", F.expr(f"n * (100 - {percent}) DIV 100"))  # words that the other lacks, at most
+    limit = f"shiftleft(CAST({_level(RARE)} AS BIGINT), 56)"
+    rows = rows.withColumn("r", F.expr(f"size(filter(slice(codes, 1, e + 1), c -> c < {limit}))"))
+    pairs = f"transform(sequence(r + 1, least(n - 1, 2 * n * (100 - {percent}) DIV 100 - r + 1)), i -> hash(codes[i - 1], codes[i]))"
+    prefix = f"IF(n * (100 - {percent}) < {percent}, CAST(array() AS array<int>), IF(r > e, transform(slice(codes, 1, e + 1), c -> hash(c)), concat(transform(slice(codes, 1, r), c -> hash(c)), {pairs})))"
+    keys = f"IF(n * (100 - {percent}) < {percent}, CAST(array() AS array<int>), transform(sequence(0, least({KEYS}, n DIV 2) - 1), i -> hash(i, codes[2 * i], codes[2 * i + 1])))"
+    return rows.select("doc", "mark", "line", "n", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), "even", "more", F.expr(keys).alias("keys"), F.expr(prefix).alias("prefix"))
+
+
+_AWAY = "bit_count({a}.even ^ {b}.even) + bit_count(({a}.more ^ {b}.more) & 4294967295L)"
+
+
+def _can_be_similar(a: str, b: str, percent: int) -> str:
+    """SQL that is false of lines that can't be: words that one has and the other lacks flip one parity each at most.
+    Sizes of settled lines are negative."""
+    away, n = _AWAY.format(a=a, b=b), f"(abs({a}.n) + abs({b}.n))"
+    return f"{100 + percent} * ({away}) <= {100 - percent} * {n} AND {100 + percent} * least(abs({a}.n), abs({b}.n)) >= {percent} * {n}"
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each line's pairs (doc, line, doc_0, line_0, away) the one of most agreeing parities."""
+    return pairs.groupBy("doc", "line").agg(F.min(F.struct("away", "doc_0", "line_0")).alias("near")).select("doc", "line", "near.doc_0", "near.line_0")
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Later lines (doc, line, mark) of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
+    """Later lines (doc, mark, line) of those durable pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_0").alias("doc"), F.col("line_0").alias("line")))
-    asked = durable(ends.distinct().groupBy("doc").agg(F.collect_set("line").alias("asked")), "asked")
-    near = join_counted(docs.withColumnRenamed("doc_id", "doc"), asked, ["doc"])
-    lines = near.select("doc", F.explode(F.expr("filter(transform(split(text, '\\n'), (x, i) -> struct(i AS line, x AS text)), y -> array_contains(asked, y.line))")).alias("y"))
-    lines = durable(lines.select("doc", "y.line", F.xxhash64("y.line", "y.text").alias("mark"), F.expr(f"array_remove(array_distinct({words_of('y.text')}), '')").alias("words")), "asked")
+    asked = durable(ends.distinct(), "asked")
+    near = join_counted(docs, durable(asked.select("doc").distinct(), "asked"), ["doc"], "left_semi")
+    lines = join_counted(near.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")), asked, ["doc", "line"])
+    lines = durable(lines.select("doc", "mark", "line", F.expr(f"array_remove(array_distinct({words_of('t')}), '')").alias("words")), "asked")
     old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
     both = pairs.join(lines, ["doc", "line"]).join(old, ["doc_0", "line_0"])
     same = F.size(F.array_intersect("words", "words_0"))
-    return both.filter(100 * same >= percent * (F.size("words") + F.size("words_0") - same)).select("doc", "line", "mark").distinct()
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Later lines of the durable pairs (doc, line, doc_0, line_0, shared) that are similar.
-
-    One similar earlier line is enough, so each line is first compared with the one that it shares most words with, and only
-    if that fails with the others: a family of n copies costs n comparisons.
-    """
-    top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
-    top = durable(top, "top")
-    first = durable(_compared(docs, top, percent), "removed")
-    rest = durable(join_counted(pairs.drop("shared"), durable(first.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti").join(top, ["doc", "line", "doc_0", "line_0"], "left_anti"), "rest")
-    return first.unionByName(_compared(docs, rest, percent))
+    return both.filter(100 * same >= percent * (F.size("words") + F.size("words_0") - same)).select("doc", "mark", "line").distinct()
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc and marks of all lines to remove; ``docs`` has doc_id (long, nulls last) and text (not null)."""
+    """doc, mark and line of all lines to remove; ``docs`` has doc (long), mark (that tells rows of one doc apart) and text (not null)."""
+    if not 75 <= percent <= 100:
+        raise ValueError("percent is 75 to 100")  # below, short lines have too few pairs of words
     lines = durable(_lines(docs, percent), "lines")
-    sets = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line", "mark")).alias("e"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
-    sets = durable(sets.select("set_a", "set_b", "n", "copies", "bits", "more", "prefix", "e.*"), "sets")
-    again = durable(sets.filter("copies > 1").select("set_a", "set_b", "n", F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("mark").alias("mark_0")), "again")
-    copies = join_counted(lines.select("doc", "line", "n", "mark", "set_a", "set_b"), again, ["set_a", "set_b", "n"]).filter("doc != doc_0 OR line != line_0 OR mark != mark_0").select("doc", "mark")
-
-    posts = sets.select("doc", "line", "n", "bits", "more", F.explode("prefix").alias("code"))
-    many = durable(posts.groupBy("code").count().filter(f"count > {MANY}").select("code"), "many")
-    before = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
-    # a bit that one line has and the other lacks is a word that the other lacks
-    most = "least(b.n - bit_count(b.bits & ~a.bits) - bit_count(b.more & ~a.more), a.n - bit_count(a.bits & ~b.bits) - bit_count(a.more & ~b.more))"
-    size = f"{before} AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND {100 + percent} * {most} >= {percent} * (a.n + b.n)"
-    found = [F.expr(x) for x in ("b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", "least(a.n, b.n) AS least_n")]
-    counted = lambda rows: rows.select(*found).groupBy("doc", "line", "doc_0", "line_0", "least_n").agg(F.count("*").alias("shared"))
-
-    # words of many lines: each line against the earliest, which settles families
-    crowd = join_counted(posts, many, ["code"], "left_semi")
-    earliest = crowd.groupBy("code").agg(F.min(F.struct("doc", "line", "n", "bits", "more")).alias("e")).select("code", "e.*")
-    pairs = durable(counted(earliest.alias("a").join(crowd.alias("b"), F.expr(f"a.code = b.code AND {size}"))), "pairs")
-    top = pairs.groupBy("doc", "line").agg(F.max(F.struct("shared", "doc_0", "line_0")).alias("top")).select("doc", "line", "top.doc_0", "top.line_0")
-    gone = durable(_compared(docs, durable(top, "top"), percent), "removed")
+    again = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line")).alias("e"), F.count("*").alias("copies")).filter("copies > 1")
+    again = durable(again.select("set_a", "set_b", "n", F.col("e.doc").alias("doc_0"), F.col("e.line").alias("line_0")), "again")
+    known = join_counted(lines, again, ["set_a", "set_b", "n"], "left")
+    copies = known.filter("doc != doc_0 OR line != line_0").select("doc", "mark", "line")
+    sets = known.filter("doc_0 IS NULL OR (doc = doc_0 AND line = line_0)").select("doc", "line", "n", "even", "more", "keys", "prefix")
+
+    # families: the earliest line of a key, and the one before
+    by = Window.partitionBy("code").orderBy("doc", "line")
+    ends = sets.filter("size(keys) > 0").select(F.explode("keys").alias("code"), F.struct("doc", "line", "n", "even", "more").alias("b")).select("code", "b.doc", "b.line", "b")
+    ends = ends.select("b", F.first("b").over(by).alias("first"), F.lag("b").over(by).alias("last")).filter("last IS NOT NULL").select("b", F.explode(F.array("first", "last")).alias("a"))
+    found = ["b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
+    earlier = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
+    families = ends.filter(f"{_can_be_similar('a', 'b', percent)} AND {earlier}").selectExpr(*found)
+    gone = durable(_compared(docs, durable(_nearest(families), "families"), percent), "removed")
 
     # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
-    settled = durable(gone.select("doc", "line").distinct().withColumn("done", F.lit(True)), "settled")
-    posts = join_counted(posts, settled, ["doc", "line"], "left").withColumn("open", F.col("done").isNull()).drop("done")
-    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.open OR a.n < 0) AND {size}"))
-    pairs = durable(counted(pairs).filter(f"shared >= {_COMMON.format('least_n')}").drop("least_n"), "pairs")
-    last = _similar(docs, pairs, percent)
-    return copies.unionByName(gone.select("doc", "mark")).unionByName(last.select("doc", "mark"))
+    settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
+    posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)")).select(F.explode("prefix").alias("code"), "doc", "line", "n", "even", "more")
+    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
+    pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
+    near = durable(_nearest(pairs), "pairs")
+    last = durable(_compared(docs, near, percent), "removed")
+    open_ = join_counted(pairs.drop("away"), durable(last.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
+    rest = durable(open_.join(near, ["doc", "line", "doc_0", "line_0"], "left_anti"), "pairs")
+    return copies.unionByName(gone).unionByName(last).unionByName(_compared(docs, rest, percent))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the later ones of similar lines, and n_lines (before) and n_removed; no row is dropped.
 
     Lines end with ``\\n``. A line without words is similar to none and stays; so do null and empty texts. A row without an id
-    comes after all others. Ids should be unique: rows repeated with id and text count as one row and come out alike.
-    Columns named n_lines or n_removed are replaced; others pass through. An empty table gives an empty result.
+    comes after all others, by a hash of its text. Ids should be unique: rows repeated with id and text count as one row
+    and come out alike, and of rows that share an id only, lines of one number are not compared. Columns named n_lines or n_removed
+    are replaced; others pass through, whatever their names. A text of any length costs in proportion to its words. An empty
+    table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    slim = docs.select(last.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    gone = durable(later_lines(slim, percent).groupBy("doc").agg(F.collect_set("mark").alias("gone")), "gone")  # of one document
-    rows = join_counted(docs.select(*names, last.alias("doc")), gone, ["doc"], "left")
-    kept = "filter(split(text, '\\n'), (x, i) -> NOT array_contains(gone, xxhash64(i, x)))"
-    count = "CAST(coalesce(size(split(text, '\\n')), 0) AS LONG)"
-    rows = rows.withColumn("kept", F.expr(f"CASE WHEN gone IS NOT NULL THEN {kept} END")).withColumn("n_lines", F.expr(f"CASE WHEN text IS NULL THEN 0L ELSE {count} END"))
-    return rows.select(*(F.expr("CASE WHEN kept IS NULL THEN text ELSE array_join(kept, '\\n') END").alias("text") if c == "text" else c for c in names), "n_lines", F.expr("CASE WHEN kept IS NULL THEN 0L ELSE n_lines - size(kept) END").alias("n_removed"))
+    text = F.coalesce("text", F.lit(""))
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), late).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    gone = durable(later_lines(rows.select("doc", "mark", "text"), percent).groupBy("doc", "mark").agg(F.collect_set("line").alias("gone")), "gone")  # of one document
+    rows = join_counted(rows.withColumn("parts", F.split("text", "\n")), gone, ["doc", "mark"], "left")
+    kept = "array_join(transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i]), '\\n')"
+    done = rows.select("row", F.expr(f"CASE WHEN gone IS NULL THEN row.text ELSE {kept} END").alias("text"), F.expr("IF(row.text IS NULL, 0L, CAST(size(parts) AS BIGINT))").alias("n_lines"), F.expr("CAST(coalesce(size(gone), 0) AS BIGINT)").alias("n_removed"))
+    return done.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names), "n_lines", "n_removed")
