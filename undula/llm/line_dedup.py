@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, join_counted
+from .common import durable, join_counted, release
 
 #: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys that settle families.
 PERCENT, COUNT_BITS, RARE, KEYS = 80, 17, 1000, 2
@@ -51,16 +51,21 @@ def _rarity(docs: DataFrame) -> str:
     return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<tinyint>)"
 
 
+def _flips(kind: str) -> str:
+    """SQL for an array of the parities that a word flips, by 7 of its bits: a word flips one of 64 (bigint) or one of 32 (int)."""
+    flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)] + [0] * 64 if kind == "bigint" else [0] * 64 + 2 * [1 << k if k < 31 else -(1 << 31) for k in range(32)]
+    return f"CAST(split('{','.join(map(str, flips))}', ',') AS array<{kind}>)"
+
+
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
     """doc, mark, line, n, set_a and set_b (hashes of the set), even and more (parities of the words hashed to 96 bits), keys (that
     settle families) and prefix of all lines with words. Entries are hashed to 32 bits, which can only add candidates."""
     levels = _rarity(docs)
     rows = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    rows = rows.withColumn("h", F.expr(f"array_remove(array_distinct(transform({words_of('t')}, w -> xxhash64(w))), xxhash64(''))"))
-    code = f"transform(h, x -> coalesce(shiftleft(CAST({levels}[shiftrightunsigned(x, {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(x, 8))"
-    even = "aggregate(h, 0L, (a, x) -> a ^ shiftleft(shiftright(x, 6) & 1, CAST(x & 63 AS INT)))"
-    more = "aggregate(h, 0, (a, x) -> a ^ shiftleft(CAST(shiftright(~x, 6) & 1 AS INT), CAST(x & 31 AS INT)))"
-    rows = rows.select("doc", "mark", "line", F.expr(even).alias("even"), F.expr(more).alias("more"), F.sort_array(F.expr(code)).alias("codes"))
+    code = f"coalesce(shiftleft(CAST({levels}[shiftrightunsigned(xxhash64({{0}}), {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(xxhash64({{0}}), 8)"
+    rows = rows.select("doc", "mark", "line", F.expr(f"sort_array(array_except(transform({words_of('t')}, w -> {code.format('w')}), array({code.format("''")})))").alias("codes"))
+    even, more = (f"aggregate(codes, {zero}, (a, x) -> a ^ {_flips(kind)}[x & 127])" for kind, zero in (("bigint", "0L"), ("int", "0")))
+    rows = rows.withColumn("even", F.expr(even)).withColumn("more", F.expr(more))
     rows = rows.withColumn("n", F.size("codes")).withColumn("e", F.expr(f"n * (100 - {percent}) DIV 100"))  # words that the other lacks, at most
     limit = f"shiftleft(CAST({_level(RARE)} AS BIGINT), 56)"
     rows = rows.withColumn("r", F.expr(f"size(filter(slice(codes, 1, e + 1), c -> c < {limit}))"))
@@ -85,13 +90,29 @@ def _nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("doc", "line").agg(F.min(F.struct("away", "doc_0", "line_0")).alias("near")).select("doc", "line", "near.doc_0", "near.line_0")
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Later lines (doc, mark, line) of those durable pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
+def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, mark, line and words of the lines of the durable ``pairs``."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_0").alias("doc"), F.col("line_0").alias("line")))
     asked = durable(ends.distinct(), "asked")
     near = join_counted(docs, durable(asked.select("doc").distinct(), "asked"), ["doc"], "left_semi")
     lines = join_counted(near.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")), asked, ["doc", "line"])
-    lines = durable(lines.select("doc", "mark", "line", F.expr(f"array_remove(array_distinct({words_of('t')}), '')").alias("words")), "asked")
+    return durable(lines.select("doc", "mark", "line", F.expr(f"array_remove(array_distinct({words_of('t')}), '')").alias("words")), "words")
+
+
+def _sifted(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (doc, line, doc_0, line_0, away) that parities of 256 bits still allow; ``away`` is of these."""
+    hashed = words.select("doc", "line", F.size("words").alias("n"), F.expr("transform(words, w -> xxhash64(w))").alias("h")).distinct()
+    wide = "transform(sequence(0, 3), k -> aggregate(h, 0L, (a, x) -> IF((shiftright(x, 6) & 3) = k, a ^ shiftleft(1L, CAST(x & 63 AS INT)), a)))"
+    slim = durable(hashed.select("doc", "line", "n", F.expr(wide).alias("wide")), "wide")
+    old = slim.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("wide").alias("wide_0"))
+    both = join_counted(join_counted(pairs.drop("away"), slim, ["doc", "line"]), old, ["doc_0", "line_0"])
+    both = both.withColumn("away", F.expr("+".join(f"bit_count(wide[{k}] ^ wide_0[{k}])" for k in range(4))))
+    return both.filter((100 + percent) * F.col("away") <= (100 - percent) * (F.col("n") + F.col("n_0"))).select("doc", "line", "doc_0", "line_0", "away")
+
+
+def _compared(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Later lines (doc, mark, line) of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
+    lines = words.select("doc", "mark", "line", "words")
     old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
     both = pairs.join(lines, ["doc", "line"]).join(old, ["doc_0", "line_0"])
     same = F.size(F.array_intersect("words", "words_0"))
@@ -106,7 +127,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = lines.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc", "line")).alias("e"), F.count("*").alias("copies")).filter("copies > 1")
     again = durable(again.select("set_a", "set_b", "n", F.col("e.doc").alias("doc_0"), F.col("e.line").alias("line_0")), "again")
     known = join_counted(lines, again, ["set_a", "set_b", "n"], "left")
-    copies = known.filter("doc != doc_0 OR line != line_0").select("doc", "mark", "line")
+    copies = durable(known.filter("doc != doc_0 OR line != line_0").select("doc", "mark", "line"), "copies")
     sets = known.filter("doc_0 IS NULL OR (doc = doc_0 AND line = line_0)").select("doc", "line", "n", "even", "more", "keys", "prefix")
 
     # families: the earliest line of a key, and the one before
@@ -116,18 +137,22 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = ["b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
     earlier = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     families = ends.filter(f"{_can_be_similar('a', 'b', percent)} AND {earlier}").selectExpr(*found)
-    gone = durable(_compared(docs, durable(_nearest(families), "families"), percent), "removed")
+    families = durable(_nearest(families), "families")
+    gone = durable(_compared(_words(docs, families), families, percent), "removed")
 
     # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
     settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
     posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)")).select(F.explode("prefix").alias("code"), "doc", "line", "n", "even", "more")
     pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
     pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
+    release(lines)
+    words = _words(docs, pairs)
+    pairs = durable(_sifted(pairs, words, percent), "pairs")
     near = durable(_nearest(pairs), "pairs")
-    last = durable(_compared(docs, near, percent), "removed")
+    last = durable(_compared(words, near, percent), "removed")
     open_ = join_counted(pairs.drop("away"), durable(last.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
-    rest = durable(open_.join(near, ["doc", "line", "doc_0", "line_0"], "left_anti"), "pairs")
-    return copies.unionByName(gone).unionByName(last).unionByName(_compared(docs, rest, percent))
+    rest = open_.join(near, ["doc", "line", "doc_0", "line_0"], "left_anti")
+    return copies.unionByName(gone).unionByName(last).unionByName(_compared(words, rest, percent))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
