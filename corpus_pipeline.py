@@ -19,31 +19,42 @@ from undula.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps. Null and empty texts score as texts without words; repeated rows are judged
+    each; an empty table gives an empty result."""
     return resampled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later ones of similar lines. A document of which no words are left is dropped; n_chars follows."""
+    """Texts without the later ones of similar lines. A document of which no words are left is dropped; n_chars follows. Documents
+    that lose no line stay as they are, null and empty texts included; rows repeated with id and text come out alike."""
     found = line_dedup(docs).filter("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id."""
+    """Of each group of linked documents the one with the smallest id. Rows that share an id are one document here and go or stay
+    together; rows without an id stay, and so do null and empty texts, which link with nothing."""
     copies = durable(ngram_components(docs).filter("doc_id != component_id").select("doc_id").distinct(), "copies")
     return join_counted(docs, copies, ["doc_id"], "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order in which the sources' blocks are due: file after file, row after row."""
-    placed = mix(docs)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """All documents in the order in which the sources' blocks are due: file after file, row after row.
+
+    Places are found without the texts, which are moved once. Rows repeated with id and text stand together. No row is dropped:
+    null ids, null sources and null or empty texts have places as well; an empty table gives an empty result.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))  # rows of one key share a place, which only orders
+    placed = mix(durable(keyed.select("doc_id", "source", "__key"), "keys"))
+    places = durable(placed.groupBy("__key").agg(F.min("position").alias("__position")), "places")
+    rows = join_counted(keyed, places, ["__key"], "left")
+    return rows.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences, which follow the order of the files and their rows."""
+    """Pieces of all documents with their place in sequences, which follow the order of the files and their rows. Null and
+    empty texts are one token; repeated rows are packed as often as they occur; an empty table gives an empty result."""
     ordered = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     return pack(ordered, tokenizer_path(), order=("__file", "__row"))
 

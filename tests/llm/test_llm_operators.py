@@ -462,6 +462,36 @@ def test_line_dedup(docs, none, rows):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize(("rare", "percent"), [(0, 80), (3, 80), (1000, 80), (0, 75), (2, 90)])
+def test_line_dedup_of_random_sets(spark, monkeypatch, rare, percent):
+    """Lines of one document after another, of few words, so that they are similar by chance, with rare words or only pairs."""
+    rng = random.Random(rare + percent)
+    lines = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(2)) for _ in range(rng.randrange(1, 14))] for _ in range(400)]
+    lines += [[w for w in x if rng.random() < 0.9] + [f"new{rng.randrange(50)}"] * (rng.random() < 0.4) for x in lines for _ in range(2)]
+    rng.shuffle(lines)
+    sets, want = [], 0
+    for x in map(frozenset, lines):
+        want += bool(x) and any(100 * len(x & y) >= percent * len(x | y) for y in sets)
+        sets.append(x)
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    got = line_dedup.line_dedup(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string"), percent)
+    assert got.agg({"n_removed": "sum"}).first()[0] == want
+
+
+def test_line_dedup_edges(spark):
+    line = "one line of eight words that is twice"
+    rows = [(1, line, 7, 8, 9, 10), (None, line + "\nfirst without id", 7, 8, 9, 10), (None, line + "\nsecond text that has no id", 7, 8, 9, 10), (None, "second text that has no id\nother words", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, doc int, gone int, line int")
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    got = got.collect()
+    assert all(r[2:6] == (7, 8, 9, 10) for r in got)
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) in ([(0, 1), (0, 1), (0, 1), (1, 0)], [(0, 0), (0, 1), (0, 2), (1, 0)])
+    long = "\n".join(f"w{i} x{i} y{i} z{i}" for i in range(30_000))
+    pair = line_dedup.line_dedup(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], len(r["text"])) for r in pair) == [(1, 0, len(long)), (2, 30_000, 0)]
+
+
 def brute_nearest(ids, x, q, own, k):
     s = x @ q
     order = sorted((j for j in range(len(ids)) if ids[j] != own), key=lambda j: (-round(s[j], 9), ids[j]))[:k]

@@ -13,8 +13,8 @@ a shared one. Rare words have short lists and pairs are rare, so what is compare
 
 Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
 Families of near copies are settled at linear cost: under a few keys of neighbouring words, each line is compared with the
-earliest line or the one before it, whichever looks nearer. Lines that are not removed by that are compared with all earlier ones
-that share an entry.
+earliest line or one just before it, whichever looks nearest. Lines that are not removed by that are compared with all earlier ones
+that share an entry, the nearest first.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_counted, release
 
-#: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys that settle families.
-PERCENT, COUNT_BITS, RARE, KEYS = 80, 17, 1000, 2
+#: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys
+#: that settle families how many lines before are tried under each, and how many pairs
+#: of a line first.
+PERCENT, COUNT_BITS, RARE, KEYS, NEAR = 80, 17, 1000, 3, 3
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -51,31 +53,33 @@ def _rarity(docs: DataFrame) -> str:
     return "CAST(split('" + levels.agg(F.expr("array_join(transform(array_sort(collect_list(struct(slot, level))), x -> x.level), ',')")).first()[0] + "', ',') AS array<tinyint>)"
 
 
-def _flips(kind: str) -> str:
-    """SQL for an array of the parities that a word flips, by 7 of its bits: a word flips one of 64 (bigint) or one of 32 (int)."""
-    flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)] + [0] * 64 if kind == "bigint" else [0] * 64 + 2 * [1 << k if k < 31 else -(1 << 31) for k in range(32)]
-    return f"CAST(split('{','.join(map(str, flips))}', ',') AS array<{kind}>)"
+def _flips(half: int) -> str:
+    """SQL for an array of what a word flips in one half of 128 parities, by 7 of its bits."""
+    flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
+    return f"CAST(split('{','.join(map(str, flips + [0] * 64 if half else [0] * 64 + flips))}', ',') AS array<bigint>)"
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, mark, line, n, set_a and set_b (hashes of the set), even and more (parities of the words hashed to 96 bits), keys (that
-    settle families) and prefix of all lines with words. Entries are hashed to 32 bits, which can only add candidates."""
+    """doc, mark, line, n, set_a and set_b (hashes of the set), even and more (parities of the words hashed to 128 bits), keys (that
+    settle families) and prefix of all lines with words."""
     levels = _rarity(docs)
     rows = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     code = f"coalesce(shiftleft(CAST({levels}[shiftrightunsigned(xxhash64({{0}}), {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(xxhash64({{0}}), 8)"
     rows = rows.select("doc", "mark", "line", F.expr(f"sort_array(array_except(transform({words_of('t')}, w -> {code.format('w')}), array({code.format("''")})))").alias("codes"))
-    even, more = (f"aggregate(codes, {zero}, (a, x) -> a ^ {_flips(kind)}[x & 127])" for kind, zero in (("bigint", "0L"), ("int", "0")))
+    even, more = (f"aggregate(codes, 0L, (a, x) -> a ^ {_flips(half)}[x & 127])" for half in (0, 1))
     rows = rows.withColumn("even", F.expr(even)).withColumn("more", F.expr(more))
     rows = rows.withColumn("n", F.size("codes")).withColumn("e", F.expr(f"n * (100 - {percent}) DIV 100"))  # words that the other lacks, at most
     limit = f"shiftleft(CAST({_level(RARE)} AS BIGINT), 56)"
     rows = rows.withColumn("r", F.expr(f"size(filter(slice(codes, 1, e + 1), c -> c < {limit}))"))
-    pairs = f"transform(sequence(r + 1, least(n - 1, 2 * n * (100 - {percent}) DIV 100 - r + 1)), i -> hash(codes[i - 1], codes[i]))"
-    prefix = f"IF(n * (100 - {percent}) < {percent}, CAST(array() AS array<int>), IF(r > e, transform(slice(codes, 1, e + 1), c -> hash(c)), concat(transform(slice(codes, 1, r), c -> hash(c)), {pairs})))"
-    keys = f"IF(n * (100 - {percent}) < {percent}, CAST(array() AS array<int>), transform(sequence(0, least({KEYS}, n DIV 2) - 1), i -> hash(i, codes[2 * i], codes[2 * i + 1])))"
+    pairs = f"2 * n * (100 - {percent}) DIV 100 - 2 * r + 1"  # of so many pairs of neighbours, one is shared
+    pairs = f"zip_with(slice(codes, r + 1, CAST(least(n - r - 1, {pairs}) AS INT)), slice(codes, r + 2, CAST(least(n - r - 1, {pairs}) AS INT)), (x, y) -> xxhash64(x, y))"
+    small, none = f"n * (100 - {percent}) < {percent}", "CAST(array() AS array<bigint>)"  # of a size that only equal sets are similar to
+    prefix = f"CASE WHEN {small} THEN {none} WHEN r > e THEN slice(codes, 1, CAST(e + 1 AS INT)) ELSE concat(slice(codes, 1, r), {pairs}) END"
+    keys = f"IF({small}, {none}, array({', '.join(f'xxhash64(codes[{i}], get(codes, {i + 1}))' for i in range(KEYS))}))"
     return rows.select("doc", "mark", "line", "n", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), "even", "more", F.expr(keys).alias("keys"), F.expr(prefix).alias("prefix"))
 
 
-_AWAY = "bit_count({a}.even ^ {b}.even) + bit_count(({a}.more ^ {b}.more) & 4294967295L)"
+_AWAY = "bit_count({a}.even ^ {b}.even) + bit_count({a}.more ^ {b}.more)"
 
 
 def _can_be_similar(a: str, b: str, percent: int) -> str:
@@ -85,9 +89,10 @@ def _can_be_similar(a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * ({away}) <= {100 - percent} * {n} AND {100 + percent} * least(abs({a}.n), abs({b}.n)) >= {percent} * {n}"
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of each line's pairs (doc, line, doc_0, line_0, away) the one of most agreeing parities."""
-    return pairs.groupBy("doc", "line").agg(F.min(F.struct("away", "doc_0", "line_0")).alias("near")).select("doc", "line", "near.doc_0", "near.line_0")
+def _nearest(pairs: DataFrame, most: int = 1) -> DataFrame:
+    """Of each line's pairs (doc, line, doc_0, line_0, away) the ``most`` of most agreeing parities."""
+    place = F.row_number().over(Window.partitionBy("doc", "line").orderBy("away", "doc_0", "line_0"))
+    return pairs.withColumn("place", place).filter(F.col("place") <= most).select("doc", "line", "doc_0", "line_0").distinct()
 
 
 def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,17 +104,6 @@ def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return durable(lines.select("doc", "mark", "line", F.expr(f"array_remove(array_distinct({words_of('t')}), '')").alias("words")), "words")
 
 
-def _sifted(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (doc, line, doc_0, line_0, away) that parities of 256 bits still allow; ``away`` is of these."""
-    hashed = words.select("doc", "line", F.size("words").alias("n"), F.expr("transform(words, w -> xxhash64(w))").alias("h")).distinct()
-    wide = "transform(sequence(0, 3), k -> aggregate(h, 0L, (a, x) -> IF((shiftright(x, 6) & 3) = k, a ^ shiftleft(1L, CAST(x & 63 AS INT)), a)))"
-    slim = durable(hashed.select("doc", "line", "n", F.expr(wide).alias("wide")), "wide")
-    old = slim.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("n").alias("n_0"), F.col("wide").alias("wide_0"))
-    both = join_counted(join_counted(pairs.drop("away"), slim, ["doc", "line"]), old, ["doc_0", "line_0"])
-    both = both.withColumn("away", F.expr("+".join(f"bit_count(wide[{k}] ^ wide_0[{k}])" for k in range(4))))
-    return both.filter((100 + percent) * F.col("away") <= (100 - percent) * (F.col("n") + F.col("n_0"))).select("doc", "line", "doc_0", "line_0", "away")
-
-
 def _compared(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Later lines (doc, mark, line) of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
     lines = words.select("doc", "mark", "line", "words")
@@ -130,25 +124,27 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = durable(known.filter("doc != doc_0 OR line != line_0").select("doc", "mark", "line"), "copies")
     sets = known.filter("doc_0 IS NULL OR (doc = doc_0 AND line = line_0)").select("doc", "line", "n", "even", "more", "keys", "prefix")
 
-    # families: the earliest line of a key, and the one before
-    by = Window.partitionBy("code").orderBy("doc", "line")
-    ends = sets.filter("size(keys) > 0").select(F.explode("keys").alias("code"), F.struct("doc", "line", "n", "even", "more").alias("b")).select("code", "b.doc", "b.line", "b")
-    ends = ends.select("b", F.first("b").over(by).alias("first"), F.lag("b").over(by).alias("last")).filter("last IS NOT NULL").select("b", F.explode(F.array("first", "last")).alias("a"))
+    # families: the earliest line of a key, and those just before
+    entries = lambda rows, name: rows.withColumn("code", F.explode(name)).select(F.hash("code").alias("code"), *slim)  # 32 bits: this can only add candidates
+    slim = ["doc", "line", "n", "even", "more"]
+    by, one = Window.partitionBy("code").orderBy("doc", "line"), F.struct(*slim)
+    ends = entries(sets, "keys").select(one.alias("b"), F.array(F.first(one).over(by), *(F.lag(one, k).over(by) for k in range(1, NEAR + 1))).alias("a"))
+    ends = ends.filter("a[1] IS NOT NULL").select("b", F.explode("a").alias("a")).filter("a IS NOT NULL")
     found = ["b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
     earlier = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     families = ends.filter(f"{_can_be_similar('a', 'b', percent)} AND {earlier}").selectExpr(*found)
-    families = durable(_nearest(families), "families")
+    families = durable(_nearest(families.distinct()), "families")
     gone = durable(_compared(_words(docs, families), families, percent), "removed")
 
     # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
     settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
-    posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)")).select(F.explode("prefix").alias("code"), "doc", "line", "n", "even", "more")
+    posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)"))
+    posts = entries(posts, "prefix")
     pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
     pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
     release(lines)
     words = _words(docs, pairs)
-    pairs = durable(_sifted(pairs, words, percent), "pairs")
-    near = durable(_nearest(pairs), "pairs")
+    near = durable(_nearest(pairs, NEAR), "pairs")
     last = durable(_compared(words, near, percent), "removed")
     open_ = join_counted(pairs.drop("away"), durable(last.select("doc", "line").distinct(), "settled"), ["doc", "line"], "left_anti")
     rest = open_.join(near, ["doc", "line", "doc_0", "line_0"], "left_anti")
