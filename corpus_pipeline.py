@@ -45,10 +45,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Places are found without the texts, which are moved once. Rows repeated with id and text stand together. No row is dropped:
     null ids, null sources and null or empty texts have places as well; an empty table gives an empty result.
     """
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))  # rows of one key share a place, which only orders
-    placed = mix(durable(keyed.select("doc_id", "source", "__key"), "keys"))
-    places = durable(placed.groupBy("__key").agg(F.min("position").alias("__position")), "places")
-    rows = join_counted(keyed, places, ["__key"], "left")
+    keyed = docs.withColumn("__same", F.xxhash64("doc_id", "text"))  # rows of one key share a place, which only orders
+    placed = mix(durable(keyed.select("doc_id", "source", "__same"), "keys"))
+    places = durable(placed.groupBy("__same").agg(F.min("position").alias("__position")), "places")
+    rows = join_counted(keyed, places, ["__same"], "left")
     return rows.repartitionByRange("__position").sortWithinPartitions("__position").select(*docs.columns)
 
 
