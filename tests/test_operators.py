@@ -137,8 +137,10 @@ def test_edges_of_the_profile(spark):
     assert np.isinf(column(flat, "matrix_profile")).all() and (column(flat, "profile_index") == -1).all()
     wide = pf.mpx(frame(spark, X[:20]), 10, exclusion_zone=2.0)
     assert np.isinf(column(wide, "matrix_profile")).all()
+    with pytest.raises(Exception, match="more than half of series s0"):  # known only when the query runs
+        pf.mpx(frame(spark, X[:18]), 10).collect()
     with pytest.raises(ValueError):
-        pf.mpx(frame(spark, X[:18]), 10)
+        pf.mpx(frame(spark, X), 1)
     with pytest.raises(ValueError):
         pf.stamp(frame(spark, X), 10, s_size=0)
     assert zone(5, 0.5) == 3 and zone(151, 0.5) == 76
@@ -151,6 +153,54 @@ def test_large_offset_does_not_cancel(spark):
     assert np.allclose(got, as_distance(brute_self(X, 10, 5).max(1), 10), atol=1e-5)
 
 
+@pytest.mark.parametrize("offset", [10**6, 10**8, 10**9, 4 * 10**9, 1_700_000_000_000_000_000])
+def test_whole_numbers_of_any_offset(spark, offset):
+    x = np.random.default_rng(3).integers(0, 50, 200)
+    s, w = frame(spark, [offset + int(v) for v in x], kind="long"), 10
+    for tile in (64, 4096):
+        got = pf.mpx(s, w, tile=tile)
+        best = brute_self(x.astype(float), w, 5)
+        assert np.allclose(column(got, "matrix_profile"), as_distance(best.max(1), w), atol=1e-7)
+        assert (best[np.arange(len(best)), column(got, "profile_index").astype(int) - 1] >= best.max(1) - 1e-12).all()
+    if offset < 2**53:
+        assert np.allclose(column(ro.mov_var(s, w), "mov_var"), windows(x, w).var(1), rtol=1e-6)
+        assert np.allclose(column(ro.mov_mean(s, w), "mov_mean") - offset, windows(x, w).mean(1), atol=1e-5)
+        assert np.isclose(fn.std(s).first()["std"], x.std(), rtol=1e-9)
+        assert np.allclose(column(ms.mass(s, s, w, 7), "distance_profile"), column(ms.mass(frame(spark, x.astype(float)), frame(spark, x.astype(float)), w, 7), "distance_profile"), atol=1e-4)
+    assert np.isclose(fn.complexity(s).first()["complexity"], np.sqrt((np.diff(x) ** 2.0).sum()))
+
+
+def test_large_and_small_values_in_one_series(spark):
+    x = np.random.default_rng(4).integers(0, 50, 120)
+    x[60] = 2**40
+    best = brute_self(x.astype(float), 6, 3)
+    got = pf.mpx(frame(spark, [int(v) for v in x], kind="long"), 6, tile=16)
+    assert np.allclose(column(got, "matrix_profile"), as_distance(best.max(1), 6), atol=1e-3)
+
+
+@pytest.mark.parametrize(("n", "w"), [(3, 2), (4, 2), (19, 10), (20, 10)])
+def test_smallest_series(spark, n, w):
+    got = pf.mpx(frame(spark, X[:n]), w, exclusion_zone=0.0)
+    best = brute_self(X[:n], w, 0)
+    assert np.allclose(column(got, "matrix_profile"), as_distance(best.max(1), w), atol=1e-6)
+
+
+def test_contrast_of_a_given_profile(spark):
+    one, two = frame(spark, X), frame(spark, X[::-1] + np.sin(np.arange(len(X))))
+    own = pf.mpx(two, 10)
+    a, b = ct.contrast_profile(one, two, 10), ct.contrast_profile(one, two, 10, positive_matrix=own)
+    assert np.allclose(column(a, "contrast_profile"), column(b, "contrast_profile")) and (column(a, "nn_idx") == column(b, "nn_idx")).all()
+
+
+def test_recursive_sums_in_blocks():
+    u = np.random.default_rng(5).normal(size=1000)
+    s, want = 2.0, []
+    for v in u:
+        s = 0.97 * s + v
+        want.append(s)
+    assert np.allclose(fn.folded(u, 0.97, 2.0), want)
+
+
 def test_samples(spark):
     s = frame(spark, X)
     full = column(pf.mpx(s, 10), "matrix_profile")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,15 @@ FLAT = 0.01
 
 
 def moments(series: DataFrame) -> DataFrame:
-    """series_id, n, mean, sd (population) of the whole series; from exact sums where values are whole numbers."""
+    """series_id, n, mean, sd (population) of the whole series; of whole numbers from exact sums, or from doubles if even
+    decimals of 38 digits overflow."""
     v = F.col("value")
     if is_exact(series):
-        sums = series.groupBy("series_id").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum((v * v).cast("decimal(38,0)")).alias("q"))
-        wide = lambda c: f"CAST({c} AS DECIMAL(38,0))"
-        return sums.select("series_id", "n", (F.col("s").cast("double") / F.col("n")).alias("mean"), F.sqrt(F.expr(f"CAST({wide('n')} * {wide('q')} - {wide('s')} * {wide('s')} AS DOUBLE) / CAST({wide('n')} * {wide('n')} AS DOUBLE)")).alias("sd"))
+        wide = v.cast("decimal(19,0)")
+        sums = series.groupBy("series_id").agg(F.count(v).alias("n"), F.sum(wide).cast("decimal(38,0)").alias("s"), F.try_sum(F.try_multiply(wide, wide)).cast("decimal(38,0)").alias("q"), F.stddev_pop(v.cast("double")).alias("about"))
+        n = "CAST(n AS DECIMAL(20,0))"
+        spread = f"try_subtract(try_multiply({n}, q), try_multiply(s, s))"
+        return sums.select("series_id", "n", (F.col("s").cast("double") / F.col("n")).alias("mean"), F.coalesce(F.sqrt(F.expr(f"CAST({spread} AS DOUBLE) / CAST({n} * {n} AS DOUBLE)")), "about").alias("sd"))
     return series.groupBy("series_id").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
 
 
@@ -54,9 +58,11 @@ def normalize(series: DataFrame, min_lim: float = 0.0, max_lim: float = 1.0) ->
 
 def complexity(series: DataFrame) -> DataFrame:
     """Root of the summed squares of the steps, by series."""
+    series = check(series)
     step = F.col("value") - F.lag("value").over(Window.partitionBy("series_id", "block").orderBy("pos"))
-    steps = haloed(check(series), 0, 1).select("series_id", "pos", "block", step.alias("d")).filter(own())
-    return steps.groupBy("series_id").agg(F.sqrt(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0)).cast("double")).alias("complexity"))
+    d = F.col("d").cast("decimal(19,0)" if is_exact(series) else "double")
+    steps = haloed(series, 0, 1).select("series_id", "pos", "block", step.alias("d")).filter(own())
+    return steps.groupBy("series_id").agg(F.sqrt(F.coalesce(F.sum(d * d).cast("double"), F.lit(0.0))).alias("complexity"))
 
 
 def mode(series: DataFrame) -> DataFrame:
@@ -75,6 +81,20 @@ def corr_ed(rho: Column, window: int) -> Column:
     return F.when(rho.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0 * window) * (F.lit(1.0) - F.least(rho, F.lit(1.0))))))
 
 
+def folded(u: np.ndarray, a: float, start: float) -> np.ndarray:
+    """The recursive sums ``s = a * s + u`` from ``start`` on, by a triangular matrix product for each 256 values."""
+    n, size = len(u), 256
+    lag = np.arange(size)[:, None] - np.arange(size)[None]
+    part = np.zeros((-(-n // size), size))
+    part.ravel()[:n] = u
+    part = part @ np.where(lag >= 0, a ** np.maximum(lag, 0), 0.0).T
+    power = a ** np.arange(1, size + 1)
+    for row in part:
+        row += power * start
+        start = row[-1]
+    return part.ravel()[:n]
+
+
 def split_order(n: int) -> list[int]:
     """1, then the middles of [2, n] halved again and again, level by level."""
     out, spans = [1], deque([(2, n)] if n > 1 else [])

@@ -10,10 +10,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tiles import EPSILON, TILE, blocks
+from ..plans.tiles import EPSILON, EXACT, blocks
 from ..sources import check, haloed, is_exact, own
 from .rolling import movmean_std, statistics
 
+#: Windows of a block.
+BLOCK = 1024
 KINDS = ("normalized", "non_normalized", "absolute", "weighted")
 
 
@@ -54,7 +56,7 @@ def _weights(window: int, type: str, weights: Sequence[float] | None) -> list[fl
     return [float(w) for w in weights]
 
 
-def mass(data: DataFrame, query: DataFrame, window: int, index: int = 1, type: str = "normalized", weights: Sequence[float] | None = None, version: str = "v3", tile: int = TILE) -> DataFrame:
+def mass(data: DataFrame, query: DataFrame, window: int, index: int = 1, type: str = "normalized", weights: Sequence[float] | None = None, version: str = "v3", tile: int = BLOCK) -> DataFrame:
     """series_id, pos, distance_profile, last_product of the window of ``query`` (one series) at ``index``.
 
     normalized: both windows z-normalised; non_normalized: the data window only; absolute: none; weighted: both, with weights
@@ -103,7 +105,8 @@ def mass(data: DataFrame, query: DataFrame, window: int, index: int = 1, type: s
             for r in range(b.num_rows):
                 x = sliding_window_view(b.column(2)[r].values.to_numpy(zero_copy_only=False), window)[:tile]
                 with np.errstate(all="ignore"):
-                    far, dot = (whole if exact else any_)(x)
+                    top = max(np.nanmax(np.abs(x), initial=1.0), np.abs(q).max(), 1.0)
+                    far, dot = (whole if exact and window * weigh.sum() * top * top < EXACT else any_)(x)
                 flat = x.max(1) == x.min(1)
                 bad = ~np.isfinite(far) if type == "absolute" else ~np.isfinite(far) | flat
                 if type in ("normalized", "weighted") and q.max() == q.min():
@@ -112,4 +115,4 @@ def mass(data: DataFrame, query: DataFrame, window: int, index: int = 1, type: s
                 n = len(x)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[r].as_py()] * n, pa.string()), pa.array(np.arange(n) + b.column(1)[r].as_py() * tile + 1), pa.array(far), pa.array(np.asarray(dot, float))], ["series_id", "pos", "distance_profile", "last_product"])
 
-    return blocks(data, window, tile).select("series_id", "block", "values").mapInArrow(run, "series_id string, pos long, distance_profile double, last_product double")
+    return blocks(data, window, tile, near_zero=False).select("series_id", "block", "values").mapInArrow(run, "series_id string, pos long, distance_profile double, last_product double")

@@ -15,18 +15,17 @@ from ..plans.tiles import TILE, Sample, cross_best, self_best
 from ..sources import check, zone
 
 
-def _guard(window: int, *many: DataFrame) -> None:
+def _guard(window: int) -> None:
     if window < 2:
         raise ValueError("a window holds two values at least")
-    for series in many:
-        for row in series.groupBy("series_id").count().filter(F.ceil(F.col("count") / 2) < window).limit(1).collect():
-            raise ValueError(f"window {window} is more than half of series {row['series_id']!r} ({row['count']} values)")
 
 
 def _every(series: DataFrame, window: int) -> DataFrame:
-    """One row for each window."""
-    n = series.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") >= window)
-    return n.select("series_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n") - window + 1)).alias("pos"))
+    """One row for each window; a series of less than twice the window's length fails the query."""
+    n = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    wrong = F.raise_error(F.concat(F.lit(f"window {window} is more than half of series "), "series_id")).cast("bigint")
+    last = F.when(F.ceil(F.col("n") / 2) < window, wrong).otherwise(F.col("n") - window + 1)
+    return n.select("series_id", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("pos"))
 
 
 def _measure(rho: Column, window: int, distance: str) -> Column:
@@ -60,7 +59,7 @@ def _joined(best: DataFrame) -> DataFrame:
 
 def _self(data: DataFrame, window: int, exclusion_zone: float, sample: Sample, distance: str = "euclidean", idxs: bool = True, sides: bool = False, tile: int = TILE) -> DataFrame:
     data = check(data)
-    _guard(window, data)
+    _guard(window)
     best = self_best(data, window, zone(window, exclusion_zone) + 1, sample, tile)
     named = {"matrix_profile__profile_index": _joined(best)}
     if sides:
@@ -70,7 +69,7 @@ def _self(data: DataFrame, window: int, exclusion_zone: float, sample: Sample, d
 
 def _cross(data: DataFrame, query: DataFrame, window: int, distance: str = "euclidean", idxs: bool = True, both: bool = True, tile: int = TILE) -> DataFrame | tuple[DataFrame, DataFrame]:
     data, query = check(data), check(query)
-    _guard(window, data, query)
+    _guard(window)
     best = cross_best(data, query, window, tile)
     done = lambda rows: rows.withColumn("partial", F.lit(False)).withColumn("ez", F.lit(0.0))
     one = done(_columns(data, window, distance, idxs, matrix_profile__profile_index=best.filter("side = 'data'")))
@@ -118,6 +117,6 @@ def mpx(data: DataFrame, window: int, query: DataFrame | None = None, exclusion_
 def mpx_right(data: DataFrame, window: int, exclusion_zone: float = 0.5, time_constraint: int | None = None, tile: int = TILE) -> DataFrame:
     """Left and right profile as correlations; ``time_constraint`` is the largest distance of two windows."""
     data = check(data)
-    _guard(window, data)
+    _guard(window)
     best = self_best(data, window, zone(window, exclusion_zone) + 1, None, tile, time_constraint)
     return _columns(data, window, "pearson", True, **{f"{s}_matrix_profile__{s}_profile_index": best.filter(F.col("side") == s) for s in ("left", "right")})

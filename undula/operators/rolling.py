@@ -7,14 +7,12 @@ aggregate each window anew.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import moments
+from ..functions import folded, moments
 from .. import sources
 from ..sources import check, haloed, is_exact, own
 
@@ -33,12 +31,20 @@ def _frame(window: int):
 
 
 def statistics(series: DataFrame, window: int, **wanted: Column) -> DataFrame:
-    """series_id, pos and the wanted expressions over n, s, q, low, high, avg, var (population) of each whole window."""
+    """series_id, pos and the wanted expressions over n, s, q, low, high, avg, var (population) of each whole window.
+
+    Of whole numbers, avg and var come from exact sums where these can't overflow, and from doubles otherwise.
+    """
     series, f = check(series), _frame(window)
-    v = F.col("value")
-    rows = haloed(series, window - 1).select("series_id", "pos", "block", F.count(F.lit(1)).over(f).alias("n"), F.sum(v).over(f).alias("s"), F.sum(v * v).over(f).alias("q"), F.min(v).over(f).alias("low"), F.max(v).over(f).alias("high"), *([] if is_exact(series) else [F.avg(v).over(f).alias("avg"), F.var_pop(v).over(f).alias("var")]))
-    if is_exact(series):
-        rows = rows.withColumn("avg", F.expr("CAST(s AS DOUBLE) / n")).withColumn("var", F.expr("CAST(n * q - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)"))
+    v, d = F.col("value"), F.col("value").cast("double")
+    exact = is_exact(series)
+    total = [F.sum(v).over(f).alias("s")] if not exact or "mov_sum" in wanted else [F.try_sum(v).over(f).alias("s")]
+    square = F.try_sum(F.try_multiply(v, v)) if exact else F.sum(v * v)
+    rows = haloed(series, window - 1).select("series_id", "pos", "block", F.count(F.lit(1)).over(f).alias("n"), *total, square.over(f).alias("q"), F.min(v).over(f).alias("low"), F.max(v).over(f).alias("high"), F.avg(d).over(f).alias("avg"), F.var_pop(d).over(f).alias("var"), *([F.sum(d * d).over(f).alias("qd")] if exact else []))
+    if exact:
+        small = f"low > -{2**31 // window} AND high < {2**31 // window}"
+        rows = rows.withColumn("avg", F.expr("coalesce(CAST(s AS DOUBLE) / n, avg)")).withColumn("var", F.expr(f"IF({small}, CAST(n * q - s * s AS DOUBLE) / CAST(n * n AS DOUBLE), var)"))
+        rows = rows.withColumn("q", F.expr(f"IF({small}, CAST(q AS DOUBLE), qd)"))
     return rows.filter(own() & (F.col("n") == window)).select("series_id", "pos", *(e.alias(k) for k, e in wanted.items()))
 
 
@@ -85,7 +91,7 @@ def _extreme(series: DataFrame, window: int, what: str, name: str, none: str) ->
 
 
 def movmean_std(series: DataFrame, window: int) -> DataFrame:
-    """avg, sd, sig (1 / (sd * sqrt(w)), null for a flat window), sum, sqrsum."""
+    """avg, sd, sig (1 / (sd * sqrt(w)), null for a flat window), sum (null if whole numbers overflow it), sqrsum."""
     _guard(window)
     return statistics(series, window, avg=F.col("avg"), sd=F.sqrt("var"), sig=F.expr(f"sqrt(try_divide(1D, var * {window}))"), sum=F.col("s"), sqrsum=F.col("q"))
 
@@ -121,7 +127,7 @@ def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) ->
     rows = haloed(series, 0, window).select("series_id", "pos", "block", F.col("value").cast("double").alias("x"), F.lag(F.col("value").cast("double"), window).over(by).alias("old")).filter(own())
 
     def fold(u: np.ndarray) -> np.ndarray:
-        return np.fromiter(accumulate(u, lambda s, v: a * s + v), float, len(u))
+        return folded(u, a, 0.0)
 
     def local(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
@@ -130,7 +136,7 @@ def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) ->
         old = np.where(late, old, 0.0)
         return pd.DataFrame({"series_id": part["series_id"], "pos": part["pos"], "block": part["block"], "sx": fold(x - drop * old), "sq": fold(x * x - drop * old * old), "s1": fold(1.0 - drop * late)})
 
-    folded = rows.groupBy("series_id", "block").applyInPandas(local, "series_id string, pos long, block int, sx double, sq double, s1 double")
+    parts = rows.groupBy("series_id", "block").applyInPandas(local, "series_id string, pos long, block int, sx double, sq double, s1 double")
 
     def carry(ends: pd.DataFrame) -> pd.DataFrame:
         ends = ends.sort_values("block")
@@ -141,10 +147,10 @@ def _folded(series: DataFrame, window: int, kind: str, eps: float, name: str) ->
         c = np.array(out).reshape(-1, 3)
         return pd.DataFrame({"series_id": ends["series_id"], "block": ends["block"], "cx": c[:, 0], "cq": c[:, 1], "c1": c[:, 2]})
 
-    ends = folded.groupBy("series_id", "block").agg(F.count("*").alias("size"), *(F.max_by(c, "pos").alias(c) for c in ("sx", "sq", "s1")))
+    ends = parts.groupBy("series_id", "block").agg(F.count("*").alias("size"), *(F.max_by(c, "pos").alias(c) for c in ("sx", "sq", "s1")))
     starts = ends.groupBy("series_id").applyInPandas(carry, "series_id string, block int, cx double, cq double, c1 double")
     decay = F.pow(F.lit(a), (F.col("pos") - F.col("block").cast("bigint") * sources.BLOCK).cast("double"))
-    whole = folded.join(starts, ["series_id", "block"]).select("series_id", "pos", *((F.col(f"s{k}") + decay * F.col(f"c{k}")).alias(k) for k in ("x", "q", "1")))
+    whole = parts.join(starts, ["series_id", "block"]).select("series_id", "pos", *((F.col(f"s{k}") + decay * F.col(f"c{k}")).alias(k) for k in ("x", "q", "1")))
     mean = F.col("x") / F.col("1")
     value = {"mov_sum": F.col("x"), "mov_mean": mean, "mov_var": F.col("q") / F.col("1") - mean * mean}[name]
     return whole.filter(F.col("pos") >= window).select("series_id", (F.col("pos") - window + 1).alias("pos"), value.alias(name))

@@ -1,9 +1,11 @@
 """All pairs of windows by tiles.
 
 A series is cut into blocks of ``tile`` windows, each with the values they cover (``window - 1`` more than windows). A pair of
-blocks is one row: its correlations are one matrix product, of which the best partner of each window on either side leaves
-the task. Pairs are dealt by block, not by series, so a single long series uses every core. Whole numbers are multiplied as
-they are, which is exact below 2**53; other values are z-normalised before the product.
+blocks is one row, dealt by its numbers over a fixed count of partitions, so a single long series uses every core. Within
+a row the blocks meet in squares of at most STEP windows: the correlations of a square are one matrix product, and the best partner
+of each window on either side leaves the task. Correlations don't change when a constant is taken off a side, so whole numbers
+are first moved near 0; where sums of their products stay below 2**53 they are multiplied as they are, which is exact, and
+otherwise z-normalised before the product, as other values are.
 """
 
 from __future__ import annotations
@@ -18,52 +20,103 @@ from pyspark.sql import functions as F
 
 from ..sources import is_exact
 
-TILE = 1024
+TILE = 4096
+#: Windows of a side of one matrix product.
+STEP = 1024
+#: Sums up to here are exact in double precision.
+EXACT = 2.0**53
 #: Deviation below which a window is flat and has no partner.
 EPSILON = float(np.finfo(np.float64).eps)
 _SCHEMA = "series_id string, side string, pos long, rho double, idx long"
 
 
-def blocks(series: DataFrame, window: int, tile: int = TILE) -> DataFrame:
-    """series_id, block, length (of the series) and the block's values in order, missing ones as NaN."""
+def blocks(series: DataFrame, window: int, tile: int = TILE, near_zero: bool = True) -> DataFrame:
+    """series_id, block, length (of the series) and the block's values in order, missing ones as NaN.
+
+    With ``near_zero``, the least value of a series of whole numbers is taken off all of them before they become doubles.
+    """
     reach = (window - 2) // tile + 1
     first = F.expr(f"CAST((pos - 1) DIV {tile} AS INT)")
-    value = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
-    rows = series.select("series_id", "pos", value.alias("value"), F.explode(F.sequence(F.greatest(first - reach, F.lit(0)), first)).alias("block"))
+    rows = series.select("series_id", "pos", "value", F.explode(F.sequence(F.greatest(first - reach, F.lit(0)), first)).alias("block"))
     rows = rows.filter(F.expr(f"pos <= CAST(block AS BIGINT) * {tile} + {tile + window - 1}"))
-    lengths = series.groupBy("series_id").agg(F.count("*").alias("length"))
-    packed = rows.groupBy("series_id", "block").agg(F.expr("transform(array_sort(collect_list(struct(pos, value))), x -> x.value)").alias("values"))  # tile + window - 1 values
-    return packed.filter(F.size("values") >= window).join(lengths, "series_id")
+    lengths = series.groupBy("series_id").agg(F.count("*").alias("length"), F.min("value").alias("least"))
+    packed = rows.groupBy("series_id", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("values"))  # tile + window - 1 values
+    value = "CAST(x.value AS DOUBLE)"
+    if near_zero and is_exact(series):
+        value = f"coalesce(CAST(try_subtract(x.value, least) AS DOUBLE), {value} - CAST(least AS DOUBLE))"
+    whole = packed.filter(F.size("values") >= window).join(lengths, "series_id")
+    return whole.withColumn("values", F.expr(f"transform(values, x -> coalesce({value}, DOUBLE('NaN')))")).drop("least")
 
 
 class Windows:
-    """The windows of a block, ready for correlation."""
+    """The windows of a block, ready for correlation. ``exact``: the values are whole numbers."""
 
     def __init__(self, values: np.ndarray, window: int, tile: int, exact: bool):
+        if exact:
+            known = values[np.isfinite(values)]
+            values = values - np.rint(known.mean() if len(known) else 0.0)
+            top = float(np.abs(known - np.rint(known.mean())).max()) if len(known) else 0.0
+            exact = (window * max(top, 1.0)) ** 2 < EXACT
         view = sliding_window_view(values, window)[:tile]
         finite = np.isfinite(view).all(1)
-        view = np.where(finite[:, None], view, 0.0)
-        self.exact, self.w = exact, window
+        self.view = view if finite.all() else np.where(finite[:, None], view, 0.0)
+        self.exact, self.w, self.first, self._z = exact, window, 0, None
         if exact:
-            self.s = view.sum(1)
-            self.spread = window * (view * view).sum(1) - self.s * self.s
-            self.valid, self.rows = finite & (self.spread > 0), view
+            self.s = self.view.sum(1)
+            self.spread = window * np.einsum("ij,ij->i", self.view, self.view) - self.s * self.s
+            self.valid = finite & (self.spread > 0)
         else:
-            moved = view - view.mean(1, keepdims=True)
-            sd = np.sqrt((moved * moved).mean(1))
+            sd = self.view.std(1)
             self.valid = finite & (sd >= EPSILON)
-            self.rows = moved / np.where(self.valid, sd, 1.0)[:, None] / np.sqrt(window)
+
+    def __len__(self) -> int:
+        return len(self.view)
+
+    def z(self) -> np.ndarray:
+        """Windows of mean 0 and length 1."""
+        if self._z is None:
+            moved = self.view - self.view.mean(1, keepdims=True)
+            sd = np.sqrt((moved * moved).mean(1))
+            self._z = moved / (np.where(self.valid, sd, 1.0) * np.sqrt(self.w))[:, None]
+        return self._z
 
     def rho(self, other: Windows) -> np.ndarray:
-        cross = self.rows @ other.rows.T
-        if self.exact:
+        if self.exact and other.exact:
+            cross = np.hstack((self.w * self.view, -self.s[:, None])) @ np.hstack((other.view, other.s[:, None])).T
             with np.errstate(all="ignore"):
-                cross = (self.w * cross - np.outer(self.s, other.s)) / np.sqrt(np.outer(self.spread, other.spread))
-        cross[~self.valid] = -np.inf
-        cross[:, ~other.valid] = -np.inf
+                scale = np.multiply.outer(self.spread, other.spread)
+                np.sqrt(scale, out=scale)
+                cross /= scale
+        else:
+            cross = self.z() @ other.z().T
+        if not self.valid.all():
+            cross[~self.valid] = -np.inf
+        if not other.valid.all():
+            cross[:, ~other.valid] = -np.inf
         return cross
 
 
+def squares(values: np.ndarray, window: int, tile: int, exact: bool, first: int = 0) -> Iterator[Windows]:
+    """The windows of a block whose first one is at ``first`` (from 0), STEP at a time."""
+    for at in range(0, min(tile, len(values) - window + 1), STEP):
+        part = Windows(values[at : at + STEP + window - 1], window, min(STEP, tile - at), exact)
+        part.first = first + at
+        yield part
+
+
+def apart(rho: np.ndarray, x: Windows, y: Windows, low: int, high: int | None) -> None:
+    """Strike out pairs of windows less than ``low`` or more than ``high`` positions from ``x`` on to ``y``."""
+    if y.first - (x.first + len(x) - 1) < low or high is not None and y.first + len(y) - 1 - x.first > high:
+        lag = (np.arange(len(y)) + y.first)[None] - (np.arange(len(x)) + x.first)[:, None]
+        rho[(lag < low) if high is None else (lag < low) | (lag > high)] = -np.inf
+
+
+def _dealt(pairs: DataFrame, *by: str) -> DataFrame:
+    """Pairs of blocks over the session's partitions: by bytes they'd seem few and all go to one task."""
+    spark = pairs.sparkSession
+    return pairs.repartition(4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "series_id", *by)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A fixed shuffle of whole numbers, for sampling."""
     x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -133,22 +186,24 @@ def self_best(series: DataFrame, window: int, low: int, sample: Sample | None =
                 n -= window - 1
                 if b * tile - (a + 1) * tile + 1 > (high or n):
                     continue
-                x, y = (Windows(batch.column(k)[r].values.to_numpy(zero_copy_only=False), window, tile, exact) for k in (4, 5))
-                i, j = np.arange(len(x.rows)) + a * tile, np.arange(len(y.rows)) + b * tile
-                rho = x.rho(y)
-                lag = j[None] - i[:, None]
-                bad = lag < low if high is None else (lag < low) | (lag > high)
-                rho[bad] = -np.inf
-                right, left, out = rho, rho.T, []
-                if sample.kind != "all":
-                    right = np.where(sample.mask(i, j, low, n), rho, -np.inf)
-                    left = np.where(sample.mask(j, i, low, n), rho.T, -np.inf)
-                _best(right, b * tile, i + 1, "right", name, out)
-                _best(left, a * tile, j + 1, "left", name, out)
-                if out:
-                    yield _batch(out)
-
-    found = pairs.select("series_id", "a", "b", "length", "earlier", "later").mapInArrow(run, _SCHEMA)
+                earlier, later = (list(squares(batch.column(k)[r].values.to_numpy(zero_copy_only=False), window, tile, exact, c * tile)) for k, c in ((4, a), (5, b)))
+                for x in earlier:
+                    for y in later:
+                        if y.first < x.first or y.first - (x.first + len(x) - 1) > (high or n):
+                            continue
+                        rho, out = x.rho(y), []
+                        i, j = np.arange(len(x)) + x.first, np.arange(len(y)) + y.first
+                        apart(rho, x, y, low, high)
+                        right, left = rho, rho.T
+                        if sample.kind != "all":
+                            right = np.where(sample.mask(i, j, low, n), rho, -np.inf)
+                            left = np.where(sample.mask(j, i, low, n), rho.T, -np.inf)
+                        _best(right, y.first, i + 1, "right", name, out)
+                        _best(left, x.first, j + 1, "left", name, out)
+                        if out:
+                            yield _batch(out)
+
+    found = _dealt(pairs, "a", "b").select("series_id", "a", "b", "length", "earlier", "later").mapInArrow(run, _SCHEMA)
     return _reduced(found)
 
 
@@ -165,14 +220,16 @@ def cross_best(data: DataFrame, query: DataFrame, window: int, tile: int = TILE)
         for batch in batches:
             for r in range(batch.num_rows):
                 name, a, b = (batch.column(k)[r].as_py() for k in range(3))
-                x, y = (Windows(batch.column(k)[r].values.to_numpy(zero_copy_only=False), window, tile, exact) for k in (3, 4))
-                rho, out = x.rho(y), []
-                _best(rho, b * tile, np.arange(len(x.rows)) + a * tile + 1, "data", name, out)
-                _best(rho.T, a * tile, np.arange(len(y.rows)) + b * tile + 1, "query", name, out)
-                if out:
-                    yield _batch(out)
-
-    return _reduced(pairs.select("series_id", "a", "b", "x", "y").mapInArrow(run, _SCHEMA))
+                xs, ys = (list(squares(batch.column(k)[r].values.to_numpy(zero_copy_only=False), window, tile, exact, c * tile)) for k, c in ((3, a), (4, b)))
+                for x in xs:
+                    for y in ys:
+                        rho, out = x.rho(y), []
+                        _best(rho, y.first, np.arange(len(x)) + x.first + 1, "data", name, out)
+                        _best(rho.T, x.first, np.arange(len(y)) + y.first + 1, "query", name, out)
+                        if out:
+                            yield _batch(out)
+
+    return _reduced(_dealt(pairs, "a", "b").select("series_id", "a", "b", "x", "y").mapInArrow(run, _SCHEMA))
 
 
 def _reduced(found: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ for _name, _value in (("mov_sum", "s"), ("mov_mean", "avg"), ("mov_var", "var"))
 add("mov_std", lambda s, d: ro.mov_std(events(s, d), LONG), f"{_ROLL} sqrt(var) AS mov_std FROM m")
 add("mov_min", lambda s, d: ro.mov_min(events(s, d), LONG), f"{_ROLL} low AS mov_min FROM m")
 add("mov_max", lambda s, d: ro.mov_max(events(s, d), LONG), f"{_ROLL} high AS mov_max FROM m")
-add("movmean_std", lambda s, d: ro.movmean_std(events(s, d), LONG), f"{_ROLL} avg, sqrt(var) AS sd, {_SIG}, s AS sum, q AS sqrsum FROM m")
+add("movmean_std", lambda s, d: ro.movmean_std(events(s, d), LONG), f"{_ROLL} avg, sqrt(var) AS sd, {_SIG}, s AS sum, CAST(q AS DOUBLE) AS sqrsum FROM m")
 add("muinvn", lambda s, d: ro.muinvn(events(s, d), LONG), f"{_ROLL} avg, {_SIG} FROM m")
 _MOMENTS = f"{EVT}, mo AS (SELECT series_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS s, CAST(sum(value * value) AS BIGINT) AS q FROM evt GROUP BY 1), me AS (SELECT *, CAST(s AS DOUBLE) / n AS mean, sqrt(CAST(n * q - s * s AS DOUBLE) / CAST(n * n AS DOUBLE)) AS sd FROM mo)"
 add(
@@ -266,17 +266,19 @@ def _folder(spark: SparkSession) -> str:
 
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="undula-")  # a local session, as in tests
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/replay-{uuid.uuid4().hex}"
 
 
-def stream_right_profile(spark: SparkSession, folder: str) -> DataFrame:
+def stream_right_profile(spark: SparkSession, folder: str, threshold: float = -1.0) -> DataFrame:
     from .streaming import replay, right_profile
 
     series = events(spark, folder)
     longest = series.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0  # nothing is dropped, as in the SQL
-    rows = replay(series, _folder(spark), 4, lambda stream: right_profile(stream, LONG, history=max(longest, 2 * LONG), exact=True))
+    rows = replay(series, _folder(spark), 4, lambda stream: right_profile(stream, LONG, history=max(longest, 2 * LONG), threshold=threshold, exact=True))
     last = rows.groupBy("series_id", "pos").agg(F.max_by(F.struct("right_matrix_profile", "right_profile_index"), "batch").alias("r"))
     return last.select("series_id", "pos", F.nanvl("r.right_matrix_profile", F.lit(None)).alias("right_matrix_profile"), "r.right_profile_index")
 
@@ -289,5 +291,7 @@ def stream_fading(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STREAM_LOW = zone(LONG, 0.5) + 1
-add("stream_right_profile", stream_right_profile, f"WITH {EVT}, {sql.self_pairs('evt', LONG, _STREAM_LOW)}, rb AS ({sql.best('pairs')}) SELECT st.series_id, st.pos, {sql.correlation('rb.rho')} AS right_matrix_profile, coalesce(rb.j, -1) AS right_profile_index FROM st LEFT JOIN rb ON rb.series_id = st.series_id AND rb.i = st.pos")
+_STREAM = lambda found: f"WITH {EVT}, {sql.self_pairs('evt', LONG, _STREAM_LOW)}, rb AS ({sql.best(found)}) SELECT st.series_id, st.pos, {sql.correlation('rb.rho')} AS right_matrix_profile, coalesce(rb.j, -1) AS right_profile_index FROM st LEFT JOIN rb ON rb.series_id = st.series_id AND rb.i = st.pos"
+add("stream_right_profile", stream_right_profile, _STREAM("pairs"))
+add("stream_threshold", lambda s, d: stream_right_profile(s, d, 0.45), _STREAM("(SELECT * FROM pairs WHERE rho >= 0.45)"))
 add("stream_fading", stream_fading, f"SELECT series_id, pos, mov_sum, m.mov_mean, v.mov_var FROM ({ORACLES['mov_sum_fading']}) s JOIN ({ORACLES['mov_mean_fading']}) m USING (series_id, pos) JOIN ({ORACLES['mov_var_fading']}) v USING (series_id, pos)")

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.tiles import Windows
+from ..functions import folded
+from ..plans.tiles import STEP, Windows, apart, squares
 from ..sources import zone
 
 _PROFILE = "series_id string, pos long, right_matrix_profile double, right_profile_index long"
@@ -24,7 +25,8 @@ _PROFILE = "series_id string, pos long, right_matrix_profile double, right_profi
 def extend(values: np.ndarray, best: np.ndarray, partner: np.ndarray, offset: int, new: np.ndarray, window: int, low: int, history: int, high: int | None, exact: bool, threshold: float = -1.0):
     """State after ``new`` values, and the windows whose right profile changed (positions from 1, correlation, partner).
 
-    ``offset`` counts the values before the first one held. Only windows of the new values are compared with those held.
+    ``offset`` counts the values before the first one held. Only windows of the new values are compared with those held, one
+    square of STEP windows a side after the other.
     """
     old = max(len(values) - window + 1, 0)
     values = np.concatenate((values, new))
@@ -33,18 +35,22 @@ def extend(values: np.ndarray, best: np.ndarray, partner: np.ndarray, offset: in
     partner = np.concatenate((partner, np.full(count - len(partner), -1, np.int64)))
     before = best.copy(), partner.copy()
     if count > old:
-        for start in range(old, count, 512):
-            fresh = Windows(values[start : min(start + 512, count) + window - 1], window, 512, exact)
-            low_at = max(0, start - high) if high else 0
-            held = Windows(values[low_at : min(start + 512, count) + window - 1], window, count, exact)
-            rho = held.rho(fresh)
-            lag = (np.arange(len(fresh.rows)) + start)[None] - (np.arange(len(held.rows)) + low_at)[:, None]
-            rho[(lag < low) | (lag > (high or count)) | (rho < threshold)] = -np.inf
-            at = rho.argmax(1)
-            got = rho[np.arange(len(rho)), at]
-            better = got > best[low_at : low_at + len(got)]
-            rows = np.flatnonzero(better) + low_at
-            best[rows], partner[rows] = got[better], offset + start + at[better] + 1
+        start = max(0, old - high) if high else 0
+        for x in squares(values[start:], window, count - start, exact, start):
+            for at in range(old, count, STEP):
+                fresh = min(STEP, count - at)
+                if at + fresh - 1 - x.first < low or high and at - (x.first + len(x) - 1) > high:
+                    continue
+                y = Windows(values[at : at + fresh + window - 1], window, fresh, exact)
+                y.first = at
+                rho = x.rho(y)
+                apart(rho, x, y, low, high)
+                rho[rho < threshold] = -np.inf
+                nearest = rho.argmax(1)
+                got = rho[np.arange(len(rho)), nearest]
+                better = got > best[x.first : x.first + len(x)]
+                rows = np.flatnonzero(better) + x.first
+                best[rows], partner[rows] = got[better], offset + at + nearest[better] + 1
     changed = np.flatnonzero((best != before[0]) | (np.arange(count) >= old))
     out = (offset + changed + 1, best[changed], partner[changed])
     drop = max(len(values) - history, 0)
@@ -62,17 +68,17 @@ def right_profile(stream: DataFrame, window: int, history: int, exclusion_zone:
     low = zone(window, exclusion_zone) + 1
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, offset, values, best, partner = state.get if state.exists else (0, 0, [], [], [])
+        last, offset, *held = state.get if state.exists else (0, 0, b"", b"", b"")
         rows = pd.concat(list(parts)).drop_duplicates("pos").sort_values("pos")
         rows = rows[rows["pos"] > last]
         if not len(rows):
             return
-        held = np.array(values, float), np.array([-np.inf if b is None else b for b in best], float), np.array(partner, np.int64)
+        held = (np.frombuffer(bytes(x), kind) for x, kind in zip(held, ("<f8", "<f8", "<i8")))
         values, best, partner, offset, out = extend(*held, offset, rows["value"].to_numpy(float), window, low, history, time_constraint, exact, threshold)
-        state.update((int(rows["pos"].iloc[-1]), int(offset), values.tolist(), [None if np.isinf(b) else float(b) for b in best], partner.tolist()))
+        state.update((int(rows["pos"].iloc[-1]), int(offset), *(x.astype(kind).tobytes() for x, kind in ((values, "<f8"), (best, "<f8"), (partner, "<i8")))))
         yield pd.DataFrame({"series_id": key[0], "pos": out[0], "right_matrix_profile": np.where(np.isinf(out[1]), np.nan, np.minimum(out[1], 1.0)), "right_profile_index": out[2]})
 
-    kept = "last long, offset long, values array<double>, best array<double>, partner array<long>"
+    kept = "last long, offset long, values binary, best binary, partner binary"
     rows = stream.selectExpr("series_id", "pos", "CAST(value AS DOUBLE) AS value")
     return rows.groupBy("series_id").applyInPandasWithState(step, _PROFILE, kept, "update", GroupStateTimeout.NoTimeout)
 
@@ -84,13 +90,15 @@ def fading(stream: DataFrame, window: int, eps: float = 0.90) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, sx, sq, s1 = state.get if state.exists else (0, 0.0, 0.0, 0.0)
         rows = pd.concat(list(parts)).drop_duplicates("pos").sort_values("pos")
-        rows, out = rows[rows["pos"] > last], []
-        for pos, x in zip(rows["pos"], rows["value"]):
-            sx, sq, s1, last = a * sx + x, a * sq + x * x, a * s1 + 1.0, pos
-            if pos >= window:
-                out.append((key[0], pos - window + 1, sx, sx / s1, sq / s1 - (sx / s1) ** 2))
-        state.update((int(last), float(sx), float(sq), float(s1)))
-        yield pd.DataFrame(out, columns=["series_id", "pos", "mov_sum", "mov_mean", "mov_var"])
+        rows = rows[rows["pos"] > last]
+        if not len(rows):
+            return
+        pos, x = rows["pos"].to_numpy(), rows["value"].to_numpy(float)
+        sx, sq, s1 = (folded(u, a, start) for u, start in ((x, sx), (x * x, sq), (np.ones(len(x)), s1)))
+        state.update((int(pos[-1]), float(sx[-1]), float(sq[-1]), float(s1[-1])))
+        mean = sx / s1
+        out = pd.DataFrame({"series_id": key[0], "pos": pos - window + 1, "mov_sum": sx, "mov_mean": mean, "mov_var": sq / s1 - mean * mean})
+        yield out[pos >= window]
 
     rows = stream.selectExpr("series_id", "pos", "CAST(value AS DOUBLE) AS value")
     return rows.groupBy("series_id").applyInPandasWithState(step, "series_id string, pos long, mov_sum double, mov_mean double, mov_var double", "last long, sx double, sq double, s1 double", "append", GroupStateTimeout.NoTimeout)
