@@ -11,6 +11,9 @@ no rare word; then all r rare words of x are among those missed, and of the pair
 2 (e - r) + f are broken, two by a word missed and one by a word put in between. So the first 2 e + f - 2 r + 1 pairs hold
 a shared one. Rare words have short lists and pairs are rare, so what is compared does not grow with the square of the corpus.
 
+The positions of a shared entry bound the overlap as well: before the first one, all rare words are missed, and all pairs
+are broken, in both lines. With 3 for each rare word before an entry and 1 for each pair, both together make at most 3 (e + f).
+
 Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
 Families of near copies are settled at linear cost: under a few keys of neighbouring words, each line is compared with the
 earliest line or one just before it, whichever looks nearest. Lines that are not removed by that are compared with all earlier ones
@@ -60,7 +63,7 @@ def _flips(half: int) -> str:
 
 
 def _lines(docs: DataFrame, percent: int) -> DataFrame:
-    """doc, mark, line, n, set_a and set_b (hashes of the set), even and more (parities of the words hashed to 128 bits), keys (that
+    """doc, mark, line, n, r (rare words among the first e + 1), set_a and set_b (hashes of the set), even and more (parities of the words hashed to 128 bits), keys (that
     settle families) and prefix of all lines with words."""
     levels = _rarity(docs)
     rows = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
@@ -76,7 +79,7 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     small, none = f"n * (100 - {percent}) < {percent}", "CAST(array() AS array<bigint>)"  # of a size that only equal sets are similar to
     prefix = f"CASE WHEN {small} THEN {none} WHEN r > e THEN slice(codes, 1, CAST(e + 1 AS INT)) ELSE concat(slice(codes, 1, r), {pairs}) END"
     keys = f"IF({small}, {none}, array({', '.join(f'xxhash64(codes[{i}], get(codes, {i + 1}))' for i in range(KEYS))}))"
-    return rows.select("doc", "mark", "line", "n", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), "even", "more", F.expr(keys).alias("keys"), F.expr(prefix).alias("prefix"))
+    return rows.select("doc", "mark", "line", "n", "r", F.xxhash64("codes").alias("set_a"), F.hash("codes").alias("set_b"), "even", "more", F.expr(keys).alias("keys"), F.expr(prefix).alias("prefix"))
 
 
 _AWAY = "bit_count({a}.even ^ {b}.even) + bit_count({a}.more ^ {b}.more)"
@@ -122,13 +125,13 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = durable(again.select("set_a", "set_b", "n", F.col("e.doc").alias("doc_0"), F.col("e.line").alias("line_0")), "again")
     known = join_counted(lines, again, ["set_a", "set_b", "n"], "left")
     copies = durable(known.filter("doc != doc_0 OR line != line_0").select("doc", "mark", "line"), "copies")
-    sets = known.filter("doc_0 IS NULL OR (doc = doc_0 AND line = line_0)").select("doc", "line", "n", "even", "more", "keys", "prefix")
+    sets = known.filter("doc_0 IS NULL OR (doc = doc_0 AND line = line_0)").select("doc", "line", "n", "r", "even", "more", "keys", "prefix")
 
     # families: the earliest line of a key, and those just before
-    entries = lambda rows, name: rows.withColumn("code", F.explode(name)).select(F.hash("code").alias("code"), *slim)  # 32 bits: this can only add candidates
     slim = ["doc", "line", "n", "even", "more"]
     by, one = Window.partitionBy("code").orderBy("doc", "line"), F.struct(*slim)
-    ends = entries(sets, "keys").select(one.alias("b"), F.array(F.first(one).over(by), *(F.lag(one, k).over(by) for k in range(1, NEAR + 1))).alias("a"))
+    ends = sets.select(*slim, F.explode("keys").alias("code")).select(F.hash("code").alias("code"), *slim)  # 32 bits, here and below: this can only add candidates
+    ends = ends.select(one.alias("b"), F.array(F.first(one).over(by), *(F.lag(one, k).over(by) for k in range(1, NEAR + 1))).alias("a"))
     ends = ends.filter("a[1] IS NOT NULL").select("b", F.explode("a").alias("a")).filter("a IS NOT NULL")
     found = ["b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
     earlier = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
@@ -139,8 +142,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
     settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
     posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)"))
-    posts = entries(posts, "prefix")
-    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
+    posts = posts.select(*slim, "r", F.posexplode("prefix").alias("k", "code")).select(F.hash("code").alias("code"), F.expr("3 * least(k, r) + greatest(k - r, 0)").alias("place"), *slim)
+    places = f"{100 + percent} * (a.place + b.place) <= {3 * (100 - percent)} * (abs(a.n) + abs(b.n))"
+    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {places} AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
     pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
     release(lines)
     words = _words(docs, pairs)
