@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Edges of a node, candidates held while building and searching (at least; twice the root of a shard's rows), factor of the pruning, rows of a shard at most.
+#: Edges of a node, candidates held while building and when a search begins (at least; twice the root of a shard's rows), factor of the pruning, rows of a shard at most.
 DEGREE, BUILD_BEAM, BEAM, RELAX, SHARD_ROWS = 32, 72, 128, 1.2, 200_000
+#: Widest beam, in roots of a shard's rows.
+WIDEST = 16
 
 
 def _merge(ids, dist, done, more, far, beam):
@@ -127,6 +129,20 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: fl
     return graph, start
 
 
+def settled_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, k: int, beam: int) -> np.ndarray:
+    """For each row of ``q`` the ``k`` nearest nodes met (-1: fewer), by beams twice as wide each time until they stay the same, or
+    the beam holds WIDEST times the root of the rows."""
+    out, left, before = np.full((len(q), k), -1, np.int32), np.arange(len(q)), None
+    while len(left):
+        found = beam_search(x, graph, start, q[left], min(beam, max(len(x), k)))[0][:, :k]
+        out[left, : found.shape[1]] = found
+        if 2 * beam > max(WIDEST * len(x) ** 0.5, 4 * k):
+            break
+        moved = np.ones(len(left), bool) if before is None else (np.sort(found, 1) != np.sort(before, 1)).any(1)
+        left, before, beam = left[moved], found[moved], 2 * beam
+    return out
+
+
 def augmented(v: np.ndarray, top: float) -> np.ndarray:
     v = v.astype(np.float64)
     return np.hstack((v, np.sqrt(np.maximum(top - (v * v).sum(1), 0))[:, None])).astype(np.float32)
@@ -185,8 +201,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEA
         size, out = max(16, min(512, (1 << 26) // n)), []
         for s in range(0, len(q), size):
             some = q[s : s + size]
-            found, _ = beam_search(x, graph, row["start"], np.hstack((some, np.zeros((len(some), 1)))).astype(np.float32), min(max(beam, int(2 * n**0.5)), max(n, k + 1)))
-            found = found[:, : k + 1]
+            found = settled_search(x, graph, row["start"], np.hstack((some, np.zeros((len(some), 1)))).astype(np.float32), k + 1, max(beam, int(2 * n**0.5)))
             r, c = np.nonzero(found >= 0)
             f = found[r, c]
             out.append((who[s + r], ids[f], np.einsum("ij,ij->i", some[r], v[f])))
