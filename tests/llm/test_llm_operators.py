@@ -323,7 +323,9 @@ def test_classifier(spark, docs, none, labels):
     assert got[got.kept].score.min() >= got[~got.kept].score.max()
     assert classifier.resample(docs, labels.limit(0)).filter("NOT kept").count() == 0
     assert classifier.resample(none, labels).count() == 0
-    assert classifier.resampled_documents(docs, labels, k=20).columns == [c for c in docs.columns if c != "score"]
+    kept = classifier.resampled_documents(docs, labels, k=20)
+    assert kept.columns == docs.columns
+    assert {tuple(r)[5:] for r in kept.collect()} == {tuple(r)[5:] for r in docs.collect()}  # columns of any name pass through
     rng = random.Random(0)
     good, bad = [f"good{k}" for k in range(50)], [f"bad{k}" for k in range(50)]
     table = spark.createDataFrame([(i, sentence(rng, 50, good if i % 4 else bad)) for i in range(400)], "doc_id long, text string")
@@ -332,6 +334,43 @@ def test_classifier(spark, docs, none, labels):
     assert sorted(kept.doc_id) == [i for i in range(400) if i % 4]
 
 
+def test_classifier_against_brute_force(spark):
+    rng = random.Random(4)
+    texts = {i: "" if i == 5 else None if i == 6 else sentence(rng, rng.randint(1, 40), ["Alpha", "beta", "42", "?!", "delta"]) for i in range(120)}
+    good = {i for i in texts if i % 3 == 0}
+    table = spark.createDataFrame([(i, t, 1.0) for i, t in texts.items()], "doc_id long, text string, log_weight double").repartition(3)
+    known = spark.createDataFrame([(i, int(i in good)) for i in texts], "doc_id long, quality int")
+
+    def grams(text):
+        tokens = re.findall("[a-z0-9]+|[^a-z0-9 ]+", (text or "").lower())
+        return tokens + list(zip(tokens, tokens[1:]))
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        raw.update(grams(t))
+        target.update(grams(t) if i in good else ())
+    size = raw.total() + classifier.BUCKETS, target.total() + classifier.BUCKETS
+    weigh = lambda t: sum(np.log((target[g] + 1) / size[1]) - np.log((raw[g] + 1) / size[0]) for g in grams(t))
+    got = classifier.resample(table, known, k=30).toPandas().set_index("doc_id")
+    for i, t in texts.items():
+        assert got.log_weight[i] == pytest.approx(weigh(t), abs=1e-9) and got.n_grams[i] == len(grams(t))
+    noise = {r["doc_id"]: r["g"] for r in table.select("doc_id", classifier.gumbel().alias("g")).collect()}
+    best = sorted(texts, key=lambda i: -(weigh(texts[i]) + noise[i]))[:30]
+    assert set(got.index[got.kept]) == set(best)
+
+
+def test_classifier_samples_in_proportion_to_weights(spark):
+    n = 4000
+    table = spark.createDataFrame([(i, "good" if i % 2 else "plain") for i in range(2 * n)], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame([(i, int(i % 20 in (1, 3, 5, 6))) for i in range(2000)], "doc_id long, quality int")
+    got = classifier.resample(table, known, k=600).toPandas()
+    got["good"] = got.doc_id % 2 == 1
+    weight = np.exp(got.groupby("good").log_weight.first())
+    share = weight[True] / weight.sum()
+    assert 0.6 < share < 0.9 and got.kept.sum() == 600
+    assert abs(got[got.kept].good.mean() - share) < 0.06  # a threshold would keep one kind only
+
+
 def test_kth_largest(spark):
     values = [3.5, -2.0, -2.0, 0.0, 1e300, -1e-300, 7.0, 7.0, -5.0]
     table = spark.createDataFrame([(v,) for v in values], "v double")

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from .common import added, durable, text_or_empty
 from .textkit import SPACE, buffers, mix, release, slices, word_hashes
 
-#: Hashed n-grams; labelled rows used at most (those with the smallest hashed ids); pseudo-count of a bucket; length, in
-#: n-grams, from which the ratio is taken per n-gram; scale of the noise against the ratio.
-BUCKETS, LABELLED, PSEUDO, NOISE = 1 << 16, 50_000, 1.0, 0.01
+#: Hashed n-grams; labelled rows used at most (those with the smallest hashed ids); pseudo-count of a bucket.
+BUCKETS, LABELLED, PSEUDO = 1 << 16, 50_000, 1.0
 _CLASS = np.where(SPACE, 0, 2).astype(np.int8)
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
@@ -76,7 +75,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> np.nd
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with log_weight, the mean log ratio of its n-grams (0 for a text without any), and n_grams."""
+    """``docs`` with log_weight, the log ratio of the likelihoods of its n-grams (0 for a text without any), and n_grams."""
     schema = added(docs, log_weight="double", n_grams="long")
     names, at_text = docs.columns, docs.columns.index("text")
 
@@ -86,7 +85,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for a, z, gram, text in _parts(b.column(at_text)):
                 total[a:z] = np.bincount(text, ratio[gram], minlength=z - a)
                 count[a:z] = np.bincount(text, minlength=z - a)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total / np.maximum(count, 1)), pa.array(count)], [*names, "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(total), pa.array(count)], [*names, "log_weight", "n_grams"])
 
     return docs.mapInArrow(run, schema)
 
@@ -145,8 +144,8 @@ def keep_share(scored: DataFrame, labels: DataFrame, labelled: int = LABELLED) -
     return n["k"] / n["n"] if n["n"] else 1.0
 
 
-def _scored(docs: DataFrame, ratio: np.ndarray, noise: float) -> DataFrame:
-    return log_weights(docs, ratio).withColumn("score", F.col("log_weight") + noise * gumbel())
+def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    return log_weights(docs, ratio).withColumn("score", F.col("log_weight") + gumbel())
 
 
 def _decision(scored: DataFrame, labels: DataFrame, k: int | None) -> Column:
@@ -162,20 +161,24 @@ def _decision(scored: DataFrame, labels: DataFrame, k: int | None) -> Column:
     return (F.col("score") > value) | ((F.col("score") == value) & (F.lit(bool(tied["nulls"])) | allowed))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = NOISE) -> DataFrame:
-    """doc_id, log_weight, n_grams, score (with noise), kept: ``k`` rows are kept, the rest is rejected.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """doc_id, log_weight, n_grams, score (log_weight and Gumbel noise), kept: ``k`` rows are kept, the rest is rejected.
 
     Without ``k`` it follows from the labelled rows (``keep_share``); without labels all are kept. Null text counts as
-    empty; a text without n-grams weighs as much as the average. Ties at the border go to the smaller doc_id, a null doc_id
-    last; rows repeated with their id are decided alike. An empty table gives an empty result; other columns are ignored.
+    empty; a text without n-grams has weight 1. A text of any length costs in proportion to it. Ties at the border go to the
+    smaller doc_id, a null doc_id last; rows repeated with their id are decided alike. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
-    scored = durable(_scored(docs.select("doc_id", "text"), learn(docs, labels), noise).drop("text"), "scores")
+    scored = durable(_scored(docs.select("doc_id", "text"), learn(docs, labels)).drop("text"), "scores")
     return scored.withColumn("kept", _decision(scored, labels, k))
 
 
-def resampled_documents(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = NOISE) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` keeps, with their columns. Texts are scored twice rather than shuffled."""
+def resampled_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with all their columns. Texts are scored twice rather than shuffled."""
     ratio = learn(docs, labels)
-    slim = durable(_scored(docs.select("doc_id", "text"), ratio, noise).select("doc_id", "score"), "scores")
+    slim = durable(_scored(docs.select("doc_id", "text"), ratio).select("doc_id", "score"), "scores")
     kept = _decision(slim, labels, k)
-    return _scored(docs.select("doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text", "log_weight", "n_grams", "score"))), ratio, noise).filter(kept).select(*(c for c in docs.columns if c not in ("log_weight", "n_grams", "score")))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = [F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")] if rest else []
+    rows = _scored(docs.select("doc_id", "text", *row), ratio).filter(kept)
+    return rows.select(*(F.col("row").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns))
