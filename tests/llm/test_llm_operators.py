@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from undula.llm import ann, class_lm, classifier, components, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, queries, secret_scan
+from undula.llm import ann, class_lm, classifier, components, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, queries, secret_scan, textkit
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -317,6 +318,15 @@ def test_mixing_plans_sources_without_weight_last():
         mixing.exact_weights({"a": -1.0, "b": 2.0})
 
 
+def test_word_hashes_of_long_words_differ():
+    word = "ab"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        h, _ = textkit.hashed(pa.array([word, other, word.upper(), "é" + word, "É" + word]))
+        assert h[0] == h[2] and len(set(h.tolist())) == 4
+
+
 def test_classifier(spark, docs, none, labels):
     got = classifier.resample(docs, labels, k=20).toPandas()
     assert got.kept.sum() in (20, 21, 22)  # the repeated row shares a score

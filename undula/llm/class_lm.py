@@ -248,8 +248,8 @@ def _assign(chunks: DataFrame, core: np.ndarray, own: np.ndarray, table: np.ndar
         number = _core_numbers(h, core, k)
         cls[number < k] = own[number[number < k]]
         cls[n == 0] = UNSEEN
-        n32, cut = np.minimum(n, 2**32 - 1).astype(np.uint32), np.cumsum([len(x) for x in hs])[:-1]
-        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "n": binary([n32[x] for x in np.split(back, cut)]), "cls": binary([cls[x] for x in np.split(back, cut)])})
+        cut = np.cumsum([len(x) for x in hs])[:-1]
+        return pa.table({"chunk": rows["chunk"], "bucket": rows["bucket"], "n": binary([n[x] for x in np.split(back, cut)]), "cls": binary([cls[x] for x in np.split(back, cut)])})
 
     sent = chunks.select("chunk", "train", "first", "words", "vocab", "counts").mapInArrow(deal, "bucket int, chunk long, h binary, n binary, much binary, event binary")
     return sent.groupBy("bucket").applyInArrow(give, "chunk long, bucket int, n binary, cls binary")
@@ -268,7 +268,7 @@ def _classed(chunks: DataFrame, given: DataFrame, tokens: int, words: int, ends:
         right = right.sort_by("bucket")
         n, cls = np.empty(len(h)), np.empty(len(h), np.uint8)
         order = np.argsort(h)
-        n[order] = np.frombuffer(b"".join(right["n"].to_pylist()), np.uint32)
+        n[order] = np.frombuffer(b"".join(right["n"].to_pylist()), np.int64)
         cls[order] = np.frombuffer(b"".join(right["cls"].to_pylist()), np.uint8)
         cls |= np.where(n == 1, _ONCE, 0).astype(np.uint8)
         docs = len(first) - 1

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -19,8 +20,9 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _ROLL = [pow(0xD6E8FEB86659FD93, k, 2**64) for k in range(1, 9)]
-#: Bytes hashed at a time; a longer text is hashed alone.
-SLICE = 1 << 20
+#: Bytes hashed at a time; a longer text is hashed alone. Words of more than LONG bytes are hashed one by one, as the polynomial
+#: of shorter ones gives long words of two alternating blocks the same value.
+SLICE, LONG = 1 << 20, 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,7 +89,10 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
     h = (total[end] - total[start]) * down[start]
     h += (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407)
-    return mix(h)
+    mix(h)
+    for i in np.flatnonzero(end - start > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes().lower())  # lowers A-Z only
+    return h
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
