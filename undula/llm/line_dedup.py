@@ -13,6 +13,8 @@ a shared one. Rare words have short lists and pairs are rare, so what is compare
 
 The positions of a shared entry bound the overlap as well: before the first one, all rare words are missed, and all pairs
 are broken, in both lines. With 3 for each rare word before an entry and 1 for each pair, both together make at most 3 (e + f).
+Two lines that share an entry among the few just before are paired off there, where both positions are lower, so a pair comes up
+about once for each run of shared entries.
 
 Equal sets are merged before (an aggregation with map-side combine), so a line repeated a million times is one line here.
 Families of near copies are settled at linear cost: under a few keys of neighbouring words, each line is compared with the
@@ -27,10 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import durable, join_counted, release
 
-#: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys
-#: that settle families how many lines before are tried under each, and how many pairs
-#: of a line first.
-PERCENT, COUNT_BITS, RARE, KEYS, NEAR = 80, 17, 1000, 3, 3
+#: Least similarity in per cent; bits of the table of word counts; most occurrences of a rare word; keys that settle families;
+#: how many lines before are tried under each, and how many pairs of a line first; how many entries back a shared one is sought.
+PERCENT, COUNT_BITS, RARE, KEYS, NEAR, BACK = 80, 17, 1000, 3, 3, 3
 _BLANK = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -142,9 +143,12 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # what is left against all; naming a column of both sides keeps the condition in the join, so one shuffle serves both
     settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
     posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)"))
-    posts = posts.select(*slim, "r", F.posexplode("prefix").alias("k", "code")).select(F.hash("code").alias("code"), F.expr("3 * least(k, r) + greatest(k - r, 0)").alias("place"), *slim)
+    posts = posts.select(*slim, "r", "prefix", F.posexplode("prefix").alias("k", "code"))
+    back = [F.expr(f"IF(k >= {i}, hash(get(prefix, k - {i})), NULL)").alias(f"back_{i}") for i in range(1, BACK + 1)]
+    posts = posts.select(F.hash("code").alias("code"), F.expr("3 * least(k, r) + greatest(k - r, 0)").alias("place"), *slim, *back)
+    shared = " OR ".join(f"a.back_{i} = b.back_{j}" for i in range(1, BACK + 1) for j in range(1, BACK + 1))
     places = f"{100 + percent} * (a.place + b.place) <= {3 * (100 - percent)} * (abs(a.n) + abs(b.n))"
-    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {places} AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
+    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {places} AND NOT coalesce({shared}, false) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
     pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
     release(lines)
     words = _words(docs, pairs)
