@@ -567,3 +567,17 @@ def test_vector_search(spark):
     few = ann.nearest(table.filter("vec_id < 5"), ask.filter("query_id = 0")).collect()
     assert len(few) == 4
     assert ann.nearest(table.limit(0), ask.limit(0)).count() == 0
+
+
+def test_vector_search_work_and_recall(monkeypatch):
+    pruned, prune = [], ann.robust_prune
+    monkeypatch.setattr(ann, "robust_prune", lambda x, nodes, *more: pruned.append(len(nodes)) or prune(x, nodes, *more))
+    v = np.random.default_rng(5).normal(size=(6000, 64))
+    x, q = ann.augmented(v, (v * v).sum(1).max()), v[::40]
+    graph, start = ann.build(x)
+    assert sum(pruned) < 5 * len(v) and graph.shape == (6000, ann.DEGREE)
+    found = ann.settled_search(x, graph, start, np.hstack((q, np.zeros((len(q), 1)))).astype(np.float32), 21, ann.BEAM)
+    best = np.argsort(-(q @ v.T), 1)[:, :21]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(found, best)]) >= 0.9
+    scores = np.einsum("ij,ikj->ik", q, v[found])
+    assert (np.diff(scores) < 1e-4).all() and all(len(set(a)) == 21 for a in found)
