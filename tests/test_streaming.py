@@ -64,3 +64,36 @@ def test_query_holds_the_longest_series(spark, monkeypatch):
         monkeypatch.setattr(queries, "events", lambda spark, folder: spark.range(n).selectExpr("'a' AS series_id", "id + 1 AS pos", "1L AS value"))
         queries.stream_right_profile(spark, "")
     assert held == [1_200_000, 2 * queries.LONG]
+
+
+@pytest.mark.parametrize("kind", range(4))
+@pytest.mark.parametrize("threshold", [-1.0, 0.8])
+def test_windows_that_come_again(kind, threshold):
+    """Whole numbers with copies, multiples and ties: the best later partner of each window and the lowest of equal ones."""
+    rng, w, low = np.random.default_rng(kind), 5, 4
+    base = [rng.integers(0, 3, 60), rng.integers(0, 1000, 60), rng.integers(0, 2, 60) * rng.integers(1, 5, 60), 2 * np.arange(60)][kind]
+    x = np.concatenate([base] * 3 + [rng.integers(0, 4, 40), 2 * base[:30]]).astype(float)
+    v = np.lib.stride_tricks.sliding_window_view(x, w)
+    cross = w * (v @ v.T) - np.outer(v.sum(1), v.sum(1))
+    spread = np.diag(cross)
+    with np.errstate(all="ignore"):
+        rho = cross / np.sqrt(np.outer(spread, spread))
+    n = np.arange(len(v))
+    rho[(spread == 0)[:, None] | (spread == 0)[None] | (n[None] - n[:, None] < low) | (rho < threshold)] = -np.inf
+    state, start, last = (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0), 0, {}
+    for to in (3, 50, 140, 141, len(x)):
+        *state, out = extend(*state, x[start:to], w, low, 10_000, None, True, threshold)
+        last |= {p: (b, i) for p, b, i in zip(*out)}
+        start = to
+    best = rho.max(1)
+    assert [last[i + 1] for i in n] == list(zip(best, np.where(best > -np.inf, rho.argmax(1) + 1, -1)))
+
+
+def test_windows_that_come_again_are_compared_once(monkeypatch):
+    from undula import streaming
+
+    compared, rho = [], streaming.Windows.rho
+    monkeypatch.setattr(streaming.Windows, "rho", lambda a, b: compared.append(len(a) * len(b)) or rho(a, b))
+    x = np.tile(np.random.default_rng(2).integers(0, 10_000, 500), 20).astype(float)
+    extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x, 8, 5, 100_000, None, True)
+    assert sum(compared) < 2 * 500**2
