@@ -272,3 +272,35 @@ def test_series_from_a_table(spark):
         ro.mov_sum(rows, 3)
     empty = frame(spark, [])
     assert pf.mpx(empty, 4).count() == 0 and ro.mov_sum(empty, 4).count() == 0
+
+
+@pytest.mark.parametrize("tile", [40, 4096])
+def test_mpx_of_windows_that_come_again(spark, tile):
+    """Copies, multiples, ties and gaps: left and right neighbours are those of brute force."""
+    rng, w = np.random.default_rng(4), 5
+    parts = [np.concatenate([np.tile(rng.integers(0, top, 60), 3), rng.integers(0, 4, 40)]) for top in (3, 1000)] + [2 * np.arange(60), np.tile(rng.integers(0, 2**40, 30), 3)]
+    rows = [(str(k), i + 1, int(x)) for k, part in enumerate(parts) for i, x in enumerate(part)]
+    got = pf.stomp(spark.createDataFrame(rows, "series_id string, pos long, value long"), w, left_right_profile=True, tile=tile).toPandas()
+    for k, x in enumerate(parts[:3]):
+        v = np.lib.stride_tricks.sliding_window_view(x, w)
+        cross = w * (v @ v.T) - np.outer(v.sum(1), v.sum(1))
+        spread, n = np.diag(cross), np.arange(len(v))
+        with np.errstate(all="ignore"):
+            rho = np.where(np.outer(spread, spread) > 0, cross / np.sqrt(np.outer(spread, spread)), -np.inf)
+        mine = got[got.series_id == str(k)].sort_values("pos")
+        for name, lag in (("left", n[:, None] - n[None]), ("right", n[None] - n[:, None]), ("profile", np.abs(n[None] - n[:, None]))):
+            far = np.where(lag < 4, -np.inf, rho)
+            idx = mine["profile_index" if name == "profile" else f"{name}_profile_index"].to_numpy()
+            assert (idx == np.where(far.max(1) > -np.inf, far.argmax(1) + 1, -1)).all()
+    large = got[got.series_id == "3"].sort_values("pos")
+    assert np.allclose(large.matrix_profile[:50], 0, atol=1e-3)
+
+
+def test_only_windows_that_do_not_come_again_ask(spark):
+    from undula.plans import tiles
+
+    x = np.tile(np.random.default_rng(6).integers(0, 10_000, 200), 10)
+    series = spark.createDataFrame([("a", i + 1, int(v)) for i, v in enumerate(x)], "series_id string, pos long, value long")
+    got = tiles._again(series, tiles.blocks(series, 8, 512), 8, 5, 512).toPandas().sort_values("pos")
+    assert len(got) == 1993 and got["left"].isna().sum() == got["right"].isna().sum() == 200
+    assert (got["left"].dropna() == got.pos[200:] % 200).all() and (got["right"].dropna() == got.pos[:-200] + 200).all()
