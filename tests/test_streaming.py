@@ -97,3 +97,28 @@ def test_windows_that_come_again_are_compared_once(monkeypatch):
     x = np.tile(np.random.default_rng(2).integers(0, 10_000, 500), 20).astype(float)
     extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x, 8, 5, 100_000, None, True)
     assert sum(compared) < 2 * 500**2
+
+
+def test_windows_with_their_best_partner_are_left_alone(monkeypatch):
+    from undula import streaming
+
+    hashed, shapes = [], streaming.shapes
+    monkeypatch.setattr(streaming, "shapes", lambda *args: hashed.append(len((out := shapes(*args))[2])) or out)
+    x = np.tile(np.random.default_rng(2).integers(0, 10_000, 500), 20).astype(float)
+    state = (np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0)
+    for k in range(0, len(x), 1000):
+        *state, out = extend(*state, x[k : k + 1000], 8, 5, 100_000, None, True)
+    assert len(hashed) == 10 and max(hashed) < 1000 + 2 * 500
+
+
+def test_replay_makes_the_series_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for rows in parts:
+            made.add(len(rows))
+            yield rows
+
+    series = spark.range(1, 41).selectExpr("IF(id % 2 = 0, NULL, 'a') AS series_id", "(id + 1) DIV 2 AS pos", "CAST(id * id % 7 AS DOUBLE) AS value").mapInPandas(count, "series_id string, pos long, value double")
+    rows = replay(series, f"file://{tmp_path}", 4, lambda stream: right_profile(stream, 4, 100)).toPandas()
+    assert made.value == 40 and rows.groupby(["series_id", "pos"], dropna=False).ngroups == 2 * 17
