@@ -527,6 +527,19 @@ def test_line_dedup_of_random_sets(spark, monkeypatch, rare, percent):
     assert got.agg({"n_removed": "sum"}).first()[0] == want
 
 
+def test_line_dedup_ships_few_columns(spark, monkeypatch):
+    """Entries, of which there are about ten a line, travel packed; lines to compare travel as text, not as arrays of words."""
+    kept, durable = {}, line_dedup.durable
+    monkeypatch.setattr(line_dedup, "durable", lambda df, name: kept.setdefault(name, df) and durable(df, name))
+    text = " ".join(f"w{i}" for i in range(20))
+    line_dedup.line_dedup(spark.createDataFrame([(i, f"{text} x{i}") for i in range(4)], "doc_id long, text string")).count()
+    plan = kept["pairs"]._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert plan.left().output().size() <= 7
+    assert kept["words"].columns == ["doc", "mark", "line", "t"]
+
+
 def test_line_dedup_edges(spark):
     line = "one line of eight words that is twice"
     rows = [(1, line, 7, 8, 9, 10), (None, line + "\nfirst without id", 7, 8, 9, 10), (None, line + "\nsecond text that has no id", 7, 8, 9, 10), (None, "second text that has no id\nother words", 7, 8, 9, 10)]

@@ -24,6 +24,8 @@ that share an entry, the nearest first.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,9 @@ def _lines(docs: DataFrame, percent: int) -> DataFrame:
     settle families) and prefix of all lines with words."""
     levels = _rarity(docs)
     rows = docs.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")).filter("t RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    code = f"coalesce(shiftleft(CAST({levels}[shiftrightunsigned(xxhash64({{0}}), {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(xxhash64({{0}}), 8)"
-    rows = rows.select("doc", "mark", "line", F.expr(f"sort_array(array_except(transform({words_of('t')}, w -> {code.format('w')}), array({code.format("''")})))").alias("codes"))
+    code = f"coalesce(shiftleft(CAST({levels}[shiftrightunsigned(h, {64 - COUNT_BITS})] AS BIGINT), 56), 0L) | shiftrightunsigned(h, 8)"
+    hashed = f"array_except(transform({words_of('t')}, w -> xxhash64(w)), array(xxhash64('')))"
+    rows = rows.select("doc", "mark", "line", F.expr(f"sort_array(transform({hashed}, h -> {code}))").alias("codes"))
     even, more = (f"aggregate(codes, 0L, (a, x) -> a ^ {_flips(half)}[x & 127])" for half in (0, 1))
     rows = rows.withColumn("even", F.expr(even)).withColumn("more", F.expr(more))
     rows = rows.withColumn("n", F.size("codes")).withColumn("e", F.expr(f"n * (100 - {percent}) DIV 100"))  # words that the other lacks, at most
@@ -90,7 +93,7 @@ def _can_be_similar(a: str, b: str, percent: int) -> str:
     """SQL that is false of lines that can't be: words that one has and the other lacks flip one parity each at most.
     Sizes of settled lines are negative."""
     away, n = _AWAY.format(a=a, b=b), f"(abs({a}.n) + abs({b}.n))"
-    return f"{100 + percent} * ({away}) <= {100 - percent} * {n} AND {100 + percent} * least(abs({a}.n), abs({b}.n)) >= {percent} * {n}"
+    return f"{100 + percent} * least(abs({a}.n), abs({b}.n)) >= {percent} * {n} AND {100 + percent} * ({away}) <= {100 - percent} * {n}"
 
 
 def _nearest(pairs: DataFrame, most: int = 1) -> DataFrame:
@@ -100,21 +103,21 @@ def _nearest(pairs: DataFrame, most: int = 1) -> DataFrame:
 
 
 def _words(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc, mark, line and words of the lines of the durable ``pairs``."""
+    """doc, mark, line and text of the lines of the durable ``pairs``."""
     ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc_0").alias("doc"), F.col("line_0").alias("line")))
     asked = durable(ends.distinct(), "asked")
     near = join_counted(docs, durable(asked.select("doc").distinct(), "asked"), ["doc"], "left_semi")
     lines = join_counted(near.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("line", "t")), asked, ["doc", "line"])
-    return durable(lines.select("doc", "mark", "line", F.expr(f"array_remove(array_distinct({words_of('t')}), '')").alias("words")), "words")
+    return durable(lines.select("doc", "mark", "line", "t"), "words")
 
 
 def _compared(words: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Later lines (doc, mark, line) of those pairs (doc, line, doc_0, line_0) whose sets of words are similar."""
-    lines = words.select("doc", "mark", "line", "words")
-    old = lines.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("words").alias("words_0"))
-    both = pairs.join(lines, ["doc", "line"]).join(old, ["doc_0", "line_0"])
-    same = F.size(F.array_intersect("words", "words_0"))
-    return both.filter(100 * same >= percent * (F.size("words") + F.size("words_0") - same)).select("doc", "mark", "line").distinct()
+    old = words.select(F.col("doc").alias("doc_0"), F.col("line").alias("line_0"), F.col("t").alias("t_0"))
+    both = pairs.join(words, ["doc", "line"]).join(old, ["doc_0", "line_0"])
+    sets = ", ".join(f"array_remove(array_distinct({words_of(t)}), '') AS {x}" for t, x in (("t", "x"), ("t_0", "y")))
+    alike = "100 * size(array_intersect(p.x, p.y)) >= {0} * (size(p.x) + size(p.y) - size(array_intersect(p.x, p.y)))".format(percent)
+    return both.filter(f"transform(array(struct({sets})), p -> {alike})[0]").select("doc", "mark", "line").distinct()  # each set is made once
 
 
 def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,7 +137,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ends = sets.select(*slim, F.explode("keys").alias("code")).select(F.hash("code").alias("code"), *slim)  # 32 bits, here and below: this can only add candidates
     ends = ends.select(one.alias("b"), F.array(F.first(one).over(by), *(F.lag(one, k).over(by) for k in range(1, NEAR + 1))).alias("a"))
     ends = ends.filter("a[1] IS NOT NULL").select("b", F.explode("a").alias("a")).filter("a IS NOT NULL")
-    found = ["b.doc AS doc", "b.line AS line", "a.doc AS doc_0", "a.line AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
+    found = ["b.doc AS doc", "CAST(b.line AS INT) AS line", "a.doc AS doc_0", "CAST(a.line AS INT) AS line_0", f"{_AWAY.format(a='a', b='b')} AS away"]
     earlier = "(a.doc < b.doc OR (a.doc = b.doc AND a.line < b.line))"
     families = ends.filter(f"{_can_be_similar('a', 'b', percent)} AND {earlier}").selectExpr(*found)
     families = durable(_nearest(families.distinct()), "families")
@@ -144,12 +147,15 @@ def later_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     settled = durable(gone.select("doc", "line", F.lit(True).alias("done")).distinct(), "settled")
     posts = join_counted(sets.drop("keys"), settled, ["doc", "line"], "left").withColumn("n", F.expr("IF(done, -n, n)"))
     posts = posts.select(*slim, "r", "prefix", F.posexplode("prefix").alias("k", "code"))
-    back = [F.expr(f"IF(k >= {i}, hash(get(prefix, k - {i})), NULL)").alias(f"back_{i}") for i in range(1, BACK + 1)]
-    posts = posts.select(F.hash("code").alias("code"), F.expr("3 * least(k, r) + greatest(k - r, 0)").alias("place"), *slim, *back)
-    shared = " OR ".join(f"a.back_{i} = b.back_{j}" for i in range(1, BACK + 1) for j in range(1, BACK + 1))
+    back = [f"IF(k >= {i}, CAST(hash(get(prefix, k - {i})) AS BIGINT), 0L)" for i in range(1, BACK + 1)]  # 0: none
+    low = 2**32 - 1  # few columns make short rows: line and place, two entries before, the third and n
+    posts = posts.selectExpr("hash(code) AS code", *(f"coalesce({c}, 0L) AS {c}" for c in ("doc", "even", "more")), "shiftleft(coalesce(CAST(line AS BIGINT), 0L), 8) | coalesce(least(3 * least(k, r) + greatest(k - r, 0), 255), 0) AS at", f"shiftleft({back[0]}, 32) | ({back[1]} & {low}) AS back", f"shiftleft({back[2]}, 32) | (coalesce(CAST(n AS BIGINT), 0L) & {low}) AS more_back")
+    unpacked = {"line": "shiftright({}.at, 8)", "place": "({}.at & 255)", "n": "shiftright(shiftleft({}.more_back, 32), 32)", "back_1": "shiftright({}.back, 32)", "back_2": "shiftright(shiftleft({}.back, 32), 32)", "back_3": "shiftright({}.more_back, 32)"}
+    wide = lambda e: re.sub(r"\b([ab])\.(\w+)", lambda m: unpacked.get(m[2], f"{{}}.{m[2]}").format(m[1]), e)
+    again = " OR ".join(f"(a.back_{i} = b.back_{j} AND a.back_{i} != 0)" for i in range(1, BACK + 1) for j in range(1, BACK + 1))
     places = f"{100 + percent} * (a.place + b.place) <= {3 * (100 - percent)} * (abs(a.n) + abs(b.n))"
-    pairs = posts.alias("a").join(posts.alias("b"), F.expr(f"a.code = b.code AND (b.n > 0 OR a.line < 0) AND {places} AND NOT coalesce({shared}, false) AND {_can_be_similar('a', 'b', percent)} AND {earlier}"))
-    pairs = durable(pairs.selectExpr(*found).distinct(), "pairs")
+    pairs = posts.alias("a").join(posts.alias("b"), F.expr(wide(f"a.code = b.code AND {earlier} AND (b.n > 0 OR a.line < 0) AND {_can_be_similar('a', 'b', percent)} AND {places} AND NOT ({again})")))
+    pairs = durable(pairs.selectExpr(*map(wide, found)).distinct(), "pairs")
     release(lines)
     words = _words(docs, pairs)
     near = durable(_nearest(pairs, NEAR), "pairs")
