@@ -1,10 +1,12 @@
 """The operators on a small table of awkward rows, against brute force and against properties they promise."""
 
 import collections
+import fractions
 import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -99,6 +101,38 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_packing_in_order_takes_little_memory():
+    """A worker that places the bins of 2,000 patterns, after its encoder met many words."""
+    planned = [([2048 - i, i], 1 + i % 3) for i in range(1, 1001)] + [([i, i, 7], 2) for i in range(20, 1020)]
+    total = sum(n for _, n in planned)
+    tracemalloc.start()
+    length, rank, bin_, offset = packing.spread(planned, np.arange(total))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    due = sorted((fractions.Fraction(2 * k + 1, 2 * n), q, k) for q, (_, n) in enumerate(planned) for k in range(n))
+    want, used = [], collections.Counter()
+    for number, (_, q, _) in enumerate(due):
+        at = 0
+        for x, n in collections.Counter(planned[q][0]).items():
+            for _ in range(n):
+                want.append((x, used[x], number, at))
+                used[x] += 1
+                at += x
+    assert sorted(zip(length.tolist(), rank.tolist(), bin_.tolist(), offset.tolist())) == sorted(want)
+
+
+def test_encoder_keeps_few_words(monkeypatch):
+    """300,000 words at most by default; those that come again outlast those that came once."""
+    assert packing.REMEMBER <= 300_000
+    monkeypatch.setattr(packing, "REMEMBER", 50)
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    for k in range(20):
+        text = "often again and " + " ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(20))
+        assert np.frombuffer(next(encoder.encode([text.encode()])), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert b"often" in encoder.known and len(encoder.known) <= 50
+
+
 def test_sequences_are_the_ids(spark):
     table = spark.createDataFrame([(i, f"word{i} and more " * i) for i in range(40)], "doc_id long, text string")
     path = queries.tokenizer_path()

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
+from .textkit import release
 
 CAPACITY = 2048
-#: Words whose ids a worker keeps; only speed depends on it.
-REMEMBER = 1_500_000
+#: Words whose ids a worker keeps (about 250 bytes each); only speed depends on it. Bins that are placed at a time.
+REMEMBER, BINS = 300_000, 128
 _workers: dict = {}
 
 
@@ -66,8 +67,8 @@ class WordEncoder:
             except ValueError:
                 split.append(None)
         words = set().union(*(s for s in split if s is not None))
-        if len(self.known) + len(words) > REMEMBER:
-            self.known.clear()
+        if len(self.known) + len(words - self.known.keys()) > REMEMBER:  # most words come once; those of this batch are likelier to come again
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
         self._learn(words - self.known.keys())
         get = self.known.__getitem__
         for t, s in zip(texts, split):
@@ -116,6 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, order: tup
                 piece = np.array(piece, np.int32)
                 row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(b.column(k).take(row) for k in range(2, b.num_columns))], ["doc_id", "piece", "start", "length", "ids_crc32", *order])
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *order)
     more = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in order)
@@ -205,21 +207,23 @@ def spread(planned: list[tuple[list[int], int]], bins: np.ndarray) -> tuple[np.n
     times = np.array([n for _, n in planned], np.int64)
     first = np.cumsum(times) - times
     column = {length: i for i, length in enumerate(sorted({x for lengths, _ in planned for x in lengths}))}
-    each = np.zeros((len(planned), len(column)))
+    each = np.zeros((len(column), len(planned)))
     for q, (lengths, _) in enumerate(planned):
         for length, n in Counter(lengths).items():
-            each[q, column[length]] = n
+            each[column[length], q] = n
     out, of = [], np.searchsorted(first, bins, "right") - 1
-    for a in range(0, len(bins), 1024):
-        p = of[a : a + 1024]
-        ahead = (2 * (bins[a : a + 1024] - first[p]) + 1)[:, None] * times - times[p][:, None]
+    for a in range(0, len(bins), BINS):
+        p = of[a : a + BINS]
+        ahead = (2 * (bins[a : a + BINS] - first[p]) + 1)[:, None] * times - times[p][:, None]
         full = 2 * times[p][:, None]
-        before = np.where(np.arange(len(times)) < p[:, None], ahead // full + 1, -(-ahead // full))  # each pattern's bins before
+        ahead += full - (np.arange(len(times)) >= p[:, None])  # earlier patterns come first where the place is equal
+        before = ahead // full  # each pattern's bins before
         number = before.sum(1)
+        before = before.astype(np.float64)
         for q in np.unique(p):
             some, offset = np.flatnonzero(p == q), 0
             for length, n in Counter(planned[q][0]).items():
-                rank = (before[some] @ each[:, column[length]]).astype(np.int64)
+                rank = (before[some] @ each[column[length]]).astype(np.int64)
                 nth = np.arange(n)
                 out.append((np.full(len(some) * n, length), (rank[:, None] + nth).ravel(), np.repeat(number[some], n), np.tile(offset + nth * length, len(some))))
                 offset += n * length
@@ -249,6 +253,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ())
 
 def _place_in_order(cut: DataFrame, planned: list[tuple[list[int], int]], order: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _workers.clear()  # this worker may have cut pieces before, and its words aren't needed any more
+        release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in spread(planned, b.column(0).to_numpy())], ["length", "__rank", "sequence_id", "offset"])
 
