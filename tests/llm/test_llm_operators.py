@@ -131,6 +131,8 @@ def test_encoder_keeps_few_words(monkeypatch):
         text = "often again and " + " ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(20))
         assert np.frombuffer(next(encoder.encode([text.encode()])), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert b"often" in encoder.known and len(encoder.known) <= 50
+    encoder.forget()
+    assert set(encoder.known) == set(text.encode().split())
 
 
 def test_sequences_are_the_ids(spark):

@@ -49,6 +49,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.last: set[bytes] = set()
+
+    def forget(self) -> None:
+        """Keep the words of the last batch only."""
+        self.known, self.last = {w: self.known[w] for w in self.last}, set()
 
     def _learn(self, words: set[bytes]) -> None:
         merge = self.tokenizer.model.tokenize
@@ -70,6 +75,7 @@ class WordEncoder:
         if len(self.known) + len(words - self.known.keys()) > REMEMBER:  # most words come once; those of this batch are likelier to come again
             self.known = {w: self.known[w] for w in words & self.known.keys()}
         self._learn(words - self.known.keys())
+        self.last = words
         get = self.known.__getitem__
         for t, s in zip(texts, split):
             yield b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -118,6 +124,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, order: tup
                 row = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(piece), pa.array(piece.astype(np.int64) * capacity), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *(b.column(k).take(row) for k in range(2, b.num_columns))], ["doc_id", "piece", "start", "length", "ids_crc32", *order])
             release()
+        encoder.forget()  # the worker lives on and may wait beside other stages
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *order)
     more = "".join(f", {k} {rows.schema[k].dataType.simpleString()}" for k in order)
