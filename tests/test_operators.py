@@ -304,3 +304,22 @@ def test_only_windows_that_do_not_come_again_ask(spark):
     got = tiles._again(series, tiles.blocks(series, 8, 512), 8, 5, 512).toPandas().sort_values("pos")
     assert len(got) == 1993 and got["left"].isna().sum() == got["right"].isna().sum() == 200
     assert (got["left"].dropna() == got.pos[200:] % 200).all() and (got["right"].dropna() == got.pos[:-200] + 200).all()
+
+
+def test_profiles_move_blocks_not_rows(spark):
+    """Whole series of any order, with gaps, large values and no name; rows are shuffled packed, not one for each window."""
+    rng, w = np.random.default_rng(8), 4
+    x = [int(v) + 2**62 for v in rng.integers(0, 50, 90)]
+    rows = [("a", i + 1, None if i == 40 else v) for i, v in enumerate(x)] + [(None, i + 1, v) for i, v in enumerate(x)]
+    series = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "series_id string, pos long, value long")
+    frame = pf.mpx(series, w, tile=16)
+    assert not [s for s in frame._jdf.queryExecution().executedPlan().toString().split("Exchange ")[1:] if "pos#" in s.split("\n")[0]]
+    got = frame.toPandas()
+    v = np.lib.stride_tricks.sliding_window_view(np.array([np.nan if k == 40 else u - 2**62 for k, u in enumerate(x)]), w)
+    with np.errstate(all="ignore"):
+        rho = np.corrcoef(v)
+    n = np.arange(len(v))
+    rho[np.isnan(rho) | (np.abs(n[:, None] - n[None]) < 3)] = -np.inf
+    mine, nameless = got[got.series_id == "a"].sort_values("pos"), got[got.series_id.isna()]
+    assert np.allclose(mine.matrix_profile, np.sqrt(np.maximum(0, 2 * w * (1 - rho.max(1)))), atol=1e-6) and ((mine.profile_index == -1) == (rho.max(1) == -np.inf)).all()
+    assert len(nameless) == 87 and (nameless.profile_index == -1).all() and np.isinf(nameless.matrix_profile).all()
