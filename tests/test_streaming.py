@@ -122,3 +122,49 @@ def test_replay_makes_the_series_once(spark, tmp_path):
     series = spark.range(1, 41).selectExpr("IF(id % 2 = 0, NULL, 'a') AS series_id", "(id + 1) DIV 2 AS pos", "CAST(id * id % 7 AS DOUBLE) AS value").mapInPandas(count, "series_id string, pos long, value double")
     rows = replay(series, f"file://{tmp_path}", 4, lambda stream: right_profile(stream, 4, 100)).toPandas()
     assert made.value == 40 and rows.groupby(["series_id", "pos"], dropna=False).ngroups == 2 * 17
+
+
+def test_rows_travel_packed(spark, tmp_path):
+    """Micro-batches hold packs of rows; of packed profiles ``latest`` finds the last row of each window, over spans of positions."""
+    from undula.streaming import latest
+
+    x = np.tile(np.random.default_rng(7).integers(0, 1000, 400), 3)
+    series = spark.createDataFrame([(s, i + 1, int(v)) for s in ("a", None) for i, v in enumerate(x)], "series_id string, pos long, value long")
+    rows = replay(series, f"file://{tmp_path}", 3, lambda stream: right_profile(stream, 8, 2000, exact=True, packed=True))
+    assert spark.read.parquet(f"file://{tmp_path}/in").count() < 100 and rows.count() == 6
+    got = latest(rows).toPandas()
+    *_, out = extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x.astype(float), 8, 5, 2000, None, True)
+    for mine in (got[got.series_id == "a"], got[got.series_id.isna()]):
+        mine = mine.sort_values("pos")
+        assert (mine.pos == out[0]).all() and (mine.right_profile_index == out[2]).all()
+        assert np.array_equal(mine.right_matrix_profile.fillna(-np.inf), out[1])
+
+
+@pytest.mark.parametrize("top", [2, 5, 10_000])
+def test_only_pairs_that_may_be_best_are_exact(top):
+    """What single precision leaves out is not the best; many ties are computed as a whole."""
+    from undula.plans.tiles import Windows, screened
+
+    rng, w = np.random.default_rng(top), 12
+    x, y = (Windows(np.concatenate((rng.integers(0, top, 300), np.full(20, 3))).astype(float), w, 400, True) for _ in range(2))
+    far = rng.random((len(x), len(y))) < 0.3
+    want = x.rho(y)
+    want[far] = -np.inf
+    floor = np.where(rng.random(len(x)) < 0.5, -np.inf, 0.8)
+    rows, got, row, column = screened(x, y, floor, far)
+    assert set(np.flatnonzero((want.max(1) >= floor) & (want.max(1) > -np.inf))) <= set(rows)
+    assert (got == want.max(1)[rows]).all()
+    at = got[row] > -np.inf
+    some = np.argwhere((want == want.max(1)[:, None]) & (want > -np.inf) & np.isin(np.arange(len(x)), rows)[:, None])
+    assert sorted(zip(rows[row[at]], column[at])) == sorted(map(tuple, some))
+
+
+def test_streams_compare_few_pairs_exactly(monkeypatch):
+    from undula.plans.tiles import Windows
+
+    exact, pairs = [], Windows.pairs
+    monkeypatch.setattr(Windows, "pairs", lambda a, b, i, j: exact.append(len(i)) or pairs(a, b, i, j))
+    monkeypatch.setattr(Windows, "rho", lambda a, b: exact.append(len(a) * len(b)) or 1 / 0)
+    x = np.random.default_rng(2).integers(0, 10_000, 3000).astype(float)
+    extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x, 16, 9, 100_000, None, True)
+    assert 0 < sum(exact) < 20 * 3000
