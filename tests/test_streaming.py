@@ -168,3 +168,13 @@ def test_streams_compare_few_pairs_exactly(monkeypatch):
     x = np.random.default_rng(2).integers(0, 10_000, 3000).astype(float)
     extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x, 16, 9, 100_000, None, True)
     assert 0 < sum(exact) < 20 * 3000
+
+
+def test_windows_below_the_threshold_are_not_computed_exactly(monkeypatch):
+    from undula.plans.tiles import Windows
+
+    monkeypatch.setattr(Windows, "rho", lambda *args: 1 / 0)
+    monkeypatch.setattr(Windows, "pairs", lambda a, b, i, j: np.zeros(0) if not len(i) else 1 / 0)
+    x = np.random.default_rng(3).integers(0, 10_000, 2000).astype(float)
+    *_, out = extend(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), 0, x, 50, 26, 10_000, None, True, 0.95)
+    assert len(out[0]) == 1951 and (out[2] == -1).all()
